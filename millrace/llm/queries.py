@@ -4,17 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats, read_loss, read_turns, text_part
 from .decontaminate import decontaminate, is_contaminated
 from .jaccard import jaccard_components
+from .mixing import cyclic_weights, mix_sources, n_words
+from .toxicity import fit, score
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    messages = rows.unionByName(own).withColumn("content", text_part(F.coalesce("text", F.lit(""))))
+    chats = format_chats(messages).withColumn("turns", read_turns(F.col("formatted"))).withColumn("learned", read_loss(F.col("formatted"), F.col("loss")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        _sha256(turns).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        _sha256(F.col("learned")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.col("expanded").alias("expanded_tokens"),
+    )
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mix_sources(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), cyclic_weights(docs), F.col("words"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_whole").alias("whole_repetitions"))
+
+
+def held_out(id: str = "doc_id") -> Column:
+    return F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels"), use=~held_out())
+    found = score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.passages").cast("long").alias("n_passages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, threshold=0.85)
 
@@ -28,12 +71,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "search.n_words",
         "search.n_hit",
         F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        _sha256(F.array_join(items, ",")).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
 }
