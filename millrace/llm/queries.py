@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats, read_loss, read_turns, text_part
 from .decontaminate import decontaminate, is_contaminated
+from .fingerprint import compare_with_next
 from .jaccard import jaccard_components
 from .mixing import cyclic_weights, mix_sources, n_words
 from .toxicity import fit, score
@@ -76,12 +77,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_mix_sources": op3_mix_sources,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_decontaminate": op8_decontaminate,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
