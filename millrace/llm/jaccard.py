@@ -2,14 +2,14 @@
 
 The columns (n-gram hashes) are dealt to blocks. Two documents whose sets are
 alike enough differ in at most ``d`` columns, a bound that follows from their
-sizes; with more than ``d`` blocks they therefore agree wholly on at least
-one. So a document is entered under the content of each of its blocks, and only
-pairs that share such an entry and whose sizes allow the threshold have their
-overlaps accumulated.
-
-The bounds need band-wide block counts: sizes fall into bands a factor of
-``threshold`` apart, and a pair is met in the band of its larger set, to which
-smaller sets of the next band below are entered too.
+sizes; with more than ``d`` blocks they agree wholly on some, and the sizes
+say on how many at least. A document is entered under the content of each of
+its blocks. Counts of common entries accumulate over the blocks, pairs below
+the bound of their sizes are discarded, and only for the rest are the overlaps
+themselves accumulated.
+
+Sizes fall into bands. A pair is met in the band of its larger set, to which
+sets just below the band are entered too.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -29,6 +28,11 @@ from .words import gram_hash, grams, lists, longs, mix, pieces, split
 
 #: A block with at most so many columns says little; it gets an entry only in documents with more of these than the spare blocks.
 _THIN = 1
+#: Ratio of sizes within a band.
+_BAND = 0.65
+#: Entries of up to so many documents are joined with themselves; those of more are searched by rarest columns.
+_FEW = 24
+_E_BITS = 24
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,18 +63,8 @@ def _map(df: DataFrame, text: str, schema: str, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _digests(n: int):
-    def make(batch: pa.RecordBatch) -> dict:
-        code, to = shingle_sets(batch.column(1), n)
-        upto = lambda x: np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
-        a, b = upto(mix(code)), upto(mix(code ^ np.uint64(0x5851F42D4C957F2D)))
-        return {"id": batch.column(0), "n": pa.array(np.diff(to)), "d1": pa.array(longs(a[to[1:]] - a[to[:-1]])), "d2": pa.array(longs(b[to[1:]] - b[to[:-1]]))}
-
-    return make
-
-
-def band(size: int, threshold: float) -> int:
-    return int(math.log(size) / -math.log(threshold) + 1e-9)
+def band(size: int) -> int:
+    return int(math.log(size) / -math.log(_BAND) + 1e-9)
 
 
 def blocks_of(k: int, threshold: float) -> tuple[int, int]:
@@ -78,22 +72,32 @@ def blocks_of(k: int, threshold: float) -> tuple[int, int]:
 
     Of all blocks, those that a linked pair agrees on are at least one more than the spare ones.
     """
-    top = math.ceil(threshold ** -(k + 1) + 1e-6)
-    differ = math.floor((1 - threshold) / (1 + threshold) * 2 * top + 1e-9)
+    top = math.ceil(_BAND ** -(k + 1) + 1e-6)
+    differ = most_different(2 * top, threshold)
     spare = 2 + math.ceil(0.08 * differ) if differ else 0
     return differ + 1 + spare, spare
 
 
-def entries(code: np.ndarray, to: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and entry of each of its blocks in its own band and the next one."""
+def most_different(sizes: int, threshold: float) -> int:
+    """The most columns in just one of two sets that reach the threshold, by the sum of their sizes."""
+    return math.floor((1 - threshold) / (1 + threshold) * sizes + 1e-9)
+
+
+def entries(code: np.ndarray, to: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document with a set: its number, the entries of its blocks, and how many of that band count.
+
+    Two linked documents have at least as many entries in common as the larger count of the two, less the columns they
+    differ in. The entry of the whole set comes with 0 for a count.
+    """
     size = np.diff(to)
-    bands = np.array([band(int(s), threshold) if s else -1 for s in size])
-    docs, found = [], []
+    bands = np.array([band(int(s)) if s else -1 for s in size], np.int64)
+    some = np.flatnonzero(size)
+    docs, found, count = [some], [mix(np.add.reduceat(mix(code), to[:-1][some]) + size[some].astype(np.uint64)) if len(some) else np.zeros(0, np.uint64)], [np.zeros(len(some), np.int64)]
     for own in np.unique(bands[bands >= 0]):
         mine = np.flatnonzero(bands == own)
         for k in (own, own + 1):
             blocks, spare = blocks_of(k, threshold)
-            here = mine if k == own else mine[size[mine] >= math.floor(threshold * (threshold**-k) - 1)]  # large enough for some partner in the next band
+            here = mine if k == own else mine[size[mine] >= math.floor(threshold * _BAND**-k - 1e-6)]  # large enough for a partner in the next band
             if not len(here):
                 continue
             n = size[here]
@@ -113,17 +117,18 @@ def entries(code: np.ndarray, to: np.ndarray, threshold: float) -> tuple[np.ndar
             enter = thick | thin[cell // blocks]
             cell, content = np.concatenate([cell[enter], none]), np.concatenate([content[enter], np.zeros(len(none), np.uint64)])
             docs.append(here[cell // blocks])
+            own_count = np.where(thin, blocks - spare, np.bincount(cell // blocks, minlength=len(here)))
+            count.append(own_count[cell // blocks])
             found.append(mix(content * np.uint64(0xA24BAED4963EE407) + (cell % blocks).astype(np.uint64) * np.uint64(4096) + np.uint64(k)))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), np.concatenate(found)
+    return np.concatenate(docs), np.concatenate(found), np.concatenate(count)
 
 
 def _entries(n: int, threshold: float):
     def make(batch: pa.RecordBatch) -> dict:
         code, to = shingle_sets(batch.column(1), n)
-        doc, entry = entries(code, to, threshold)
-        return {"id": batch.column(0).take(pa.array(doc)), "size": pa.array(np.diff(to)[doc].astype(np.int32)), "entry": pa.array(longs(entry))}
+        doc, entry, count = entries(code, to, threshold)
+        packed = (np.diff(to)[doc] << _E_BITS) + np.minimum(count, (1 << _E_BITS) - 1)
+        return {"id": batch.column(0).take(pa.array(doc)), "packed": pa.array(packed), "entry": pa.array(longs(entry))}
 
     return make
 
@@ -175,28 +180,39 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     Rows with a null id are left out. Of rows that repeat an id, the links of all count as that id's, and
     ``n_shingles`` is the largest. Other columns are not read.
 
-    1. Texts of equal sets form a class with the smallest id for a representative; only those go on.
-    2. Entries of each block lead to candidates. An entry shared by many documents isn't expanded into pairs: all are
-       compared with its smallest member, and what that links is one component from then on. Documents of entries
-       that then still hold several components are entered again under their rarest columns, where pairs across
-       components are found; no link that matters is lost.
-    3. Overlaps are accumulated over the pairs' columns, and links closed to components.
+    1. Entries lead to candidates. Sets that are equal meet in an entry of their own, and only the smallest id goes on.
+    2. An entry shared by many documents isn't expanded into pairs: all are compared with its smallest member, and
+       what that links is one component from then on.
+    3. Pairs across components follow: by counts of common entries where these hold few documents, by rarest columns
+       for documents of larger ones. No link that matters is lost.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
-    digests = _map(rows, "text", f"id {kind}, n bigint, d1 bigint, d2 bigint", _digests(n))
-    members = cut(digests)
-    classes = members.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    classed = members.where("n > 0").join(classes, ["n", "d1", "d2"]).select("id", "rep")
-    links = cut(representative_links(rows, classes.select("rep"), kind, n, threshold))
-    found = components(links.union(classed.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
-    sizes = members.groupBy("id").agg(F.max("n").alias("n_shingles"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entered = _map(rows, "text", f"id {kind}, packed bigint, entry bigint", _entries(n, threshold)).repartition(parts, "entry")
+    shared = entered.groupBy("entry").agg(F.min("id").alias("first"), F.count("*").alias("k"))
+    e = F.col("packed") % (1 << _E_BITS)
+    hits = cut(entered.join(shared, "entry").where((F.col("k") > 1) | (e == 0)).select("entry", "id", "packed", "first"))
+    hits = hits.select("entry", "id", "first", F.shiftright("packed", _E_BITS).alias("size"), e.alias("e"))
+    whole = hits.where("e = 0").select("id", "first", "size")
+    links = representative_links(rows, hits.where("e > 0"), whole.select("first").distinct(), kind, n, threshold)
+    found = components(links.union(whole.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))))
+    sizes = whole.groupBy("id").agg(F.max("size").alias("n_shingles"))
     return (
-        sizes.join(found, sizes["id"] == found["node"], "left")
-        .select(F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        rows.select("id").distinct()
+        .join(sizes, "id", "left")
+        .join(found.withColumnRenamed("node", "id"), "id", "left")
+        .select(F.col("id").alias(id), F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
 
 
+def _enough(share: float) -> Column:
+    """Whether pair rows (size, e, size2, e2, common) can reach the threshold by their sizes and entries in common."""
+    small, large = F.least("size", "size2"), F.greatest("size", "size2")
+    differ = F.floor((1 - share) / (1 + share) * (F.col("size") + F.col("size2")) + 1e-9)
+    return (100 * small >= round(share * 100) * large) & (F.col("common") >= F.greatest("e", "e2") - differ)
+
+
 def rare_first_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (x, y) across components that may reach the threshold, of rows (id, cols, c).
 
@@ -224,20 +240,39 @@ def rare_first_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def representative_links(rows: DataFrame, reps: DataFrame, kind: str, n: int, threshold: float) -> DataFrame:
+def representative_links(rows: DataFrame, hits: DataFrame, reps: DataFrame, kind: str, n: int, threshold: float) -> DataFrame:
     """Links (a, b) between representatives that are enough to connect what is linked."""
-    texts = rows.join(reps.distinct().withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text")
-    entered = _map(texts, "text", f"id {kind}, size int, entry bigint", _entries(n, threshold))
-    shared = entered.groupBy("entry").agg(F.min(F.struct("id", "size")).alias("first"), F.count("*").alias("k")).where("k > 1").select("entry", F.col("first.id").alias("first"), F.col("first.size").alias("size2"))
-    hits = cut(entered.join(shared, "entry").select("entry", "id", "size", "first", "size2"))
-    small, large = F.least("size", "size2"), F.greatest("size", "size2")
-    allowed = 100 * small >= round(threshold * 100) * large
-    pairs = hits.where((F.col("id") != F.col("first")) & allowed).select(F.col("first").alias("x"), F.col("id").alias("y")).distinct()
-    sets = cut(_map(texts.join(hits.select("id").distinct(), "id", "left_semi"), "text", f"id {kind}, cols array<bigint>", _sets(n)))
-    links = cut(verify(pairs, sets, threshold))
+    own = hits.select("entry", "id", "size", "e").join(reps.withColumnRenamed("first", "id"), "id", "left_semi")
+    differ = F.floor((1 - threshold) / (1 + threshold) * (F.col("size") + F.floor(F.col("size") / threshold + 1e-9)) + 1e-9)
+    own = own.withColumn("met", F.count("*").over(Window.partitionBy("id", "size", "e"))).where(F.col("met") >= F.col("e") - differ).drop("met")
+    every = own.groupBy("entry").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("k")).where("first <> last")
+    own = cut(own.join(every.drop("last"), "entry"))
+    lead = own.where("id = first").select("entry", F.col("size").alias("size2"), F.col("e").alias("e2"))
+    star = own.where("id <> first").join(lead, "entry").groupBy(F.col("first").alias("x"), F.col("id").alias("y"), "size", "e", "size2", "e2").agg(F.count("*").alias("common"))
+    star = cut(star.where(_enough(threshold)).select("x", "y").distinct())
+    links = cut(verify(star, _sets_of(rows, star, kind, n), threshold))
     label = components(links)
-    now = hits.join(label, hits["id"] == label["node"], "left").select("entry", "id", "size", "first", F.coalesce("component", "id").alias("c"))
+    now = own.join(label, own["id"] == label["node"], "left").select("entry", "id", "size", "e", "k", F.coalesce("component", "id").alias("c"))
     several = now.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("entry")
-    left = cut(now.join(several, "entry", "left_semi").select("id", "c").distinct())
-    across = rare_first_pairs(sets.join(left, "id"), threshold)
-    return links.union(verify(across, sets, threshold))
+    now = cut(now.join(several, "entry", "left_semi"))
+    crowd = cut(now.where(F.col("k") > _FEW).select("id", "c").distinct())
+    few = now.where(F.col("k") <= _FEW).join(crowd.select("id", F.lit(True).alias("crowd")), "id", "left").na.fill(False, ["crowd"])
+    other = few.select("entry", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "e", "c", "crowd")))
+    across = (
+        few.join(other, "entry")
+        .where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & ~(F.col("crowd") & F.col("crowd2")))
+        .groupBy(F.col("id").alias("x"), F.col("id2").alias("y"), "size", "e", "size2", "e2")
+        .agg(F.count("*").alias("common"))
+        .where(_enough(threshold))
+        .select("x", "y")
+        .distinct()
+    )
+    crowd_sets = _sets_of(rows, crowd.select("id"), kind, n).join(crowd, "id")
+    pairs = cut(across.union(rare_first_pairs(crowd_sets, threshold)).join(star, ["x", "y"], "left_anti"))
+    return links.union(verify(pairs, _sets_of(rows, pairs, kind, n), threshold))
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame, kind: str, n: int) -> DataFrame:
+    """Rows (id, cols) of the documents that occur in any column of ``ids``."""
+    wanted = ids.select(F.explode(F.array(*ids.columns)).alias("id")).distinct()
+    return _map(rows.join(wanted, "id", "left_semi").select("id", "text"), "text", f"id {kind}, cols array<bigint>", _sets(n))
