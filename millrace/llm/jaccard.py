@@ -190,9 +190,9 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     kind = rows.schema["id"].dataType.simpleString()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entered = _map(rows, "text", f"id {kind}, packed bigint, entry bigint", _entries(n, threshold)).repartition(parts, "entry")
-    shared = entered.groupBy("entry").agg(F.min("id").alias("first"), F.count("*").alias("k"))
+    shared = entered.groupBy("entry").agg(F.min("id").alias("first"), F.count("*").alias("k"), F.max("packed").alias("most"))
     e = F.col("packed") % (1 << _E_BITS)
-    hits = cut(entered.join(shared, "entry").where((F.col("k") > 1) | (e == 0)).select("entry", "id", "packed", "first"))
+    hits = cut(entered.join(shared, "entry").where((F.col("k") > 1) | (F.col("most") % (1 << _E_BITS) == 0)).select("entry", "id", "packed", "first"))
     hits = hits.select("entry", "id", "first", F.shiftright("packed", _E_BITS).alias("size"), e.alias("e"))
     whole = hits.where("e = 0").select("id", "first", "size")
     links = representative_links(rows, hits.where("e > 0"), whole.select("first").distinct(), kind, n, threshold)

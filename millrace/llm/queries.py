@@ -11,8 +11,12 @@ from .chat import format_chats, read_loss, read_turns, text_part
 from .decontaminate import decontaminate, is_contaminated
 from .fingerprint import compare_with_next
 from .jaccard import jaccard_components
+from .lines import repeated_units
 from .mixing import cyclic_weights, mix_sources, n_words
+from .scoring import backoff_scores
+from .secrets import find_secrets, labelled_findings, train
 from .toxicity import fit, score
+from .warc import resolve_revisits
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", F.col("lm_words").alias("n_words"), F.round("lm_score", 3).alias("log_score"), F.col("lm_backed_off").alias("n_backed_off"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mix_sources(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), cyclic_weights(docs), F.col("words"))
@@ -52,6 +61,12 @@ def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the secrets are; of a secret itself only its digest."""
+    found = find_secrets(_table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    return found.select("doc_id", "start", F.length("token").cast("long").alias("length"), _sha256(F.col("token")).alias("secret_sha256"), "probability")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, _table(spark, sf_dir, "labels"), use=~held_out())
@@ -63,6 +78,29 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, threshold=0.85)
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records for ``pages``: a full response of each page, and a not-modified revisit two weeks later.
+
+    The page's number is the time in hours. Of the revisits, every 7th has another entity tag, every 11th none; every
+    13th response and revisit have a date of last modification instead.
+    """
+    n, null = F.col("page_id"), F.lit(None).cast("string")
+    tag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256), 1, 16), F.lit('"'))
+    dated = F.when(n % 13 == 0, F.concat(F.lit("day "), (n % 28).cast("string")))
+    size = F.length(F.coalesce("html", F.lit(""))).cast("string")
+    head = lambda *pairs: F.map_filter(F.create_map(*(x for k, v in pairs for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    full = head(("ETag", F.when(n % 13 != 0, tag)), ("Last-Modified", dated), ("Content-Type", F.lit("text/html")), ("Content-Length", size), ("Date", n.cast("string")), ("Cache-Control", F.lit("max-age=60")))
+    newer = F.when(n % 7 == 0, F.lit('"other"')).when((n % 11 != 0) & (n % 13 != 0), F.concat(F.lit("W/"), tag))
+    seen = head(("etag", newer), ("Last-Modified", dated), ("Content-Length", F.lit("0")), ("Date", (n + 336).cast("string")), ("Vary", F.lit("accept")), ("gone", null))
+    record = lambda kind, time, status, headers: F.struct(F.concat(F.lit(kind), n.cast("string")).alias("record_id"), F.col("url"), time.cast("long").alias("time"), F.lit(status).alias("status"), headers.alias("headers"))
+    return pages.select(F.inline(F.array(record("response-", n, 200, full), record("revisit-", n + 336, 304, seen))))
+
+
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(_table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical_url", "time", "response_id", "response_time", "outcome", *(F.col("headers")[h].alias(a) for h, a in (("etag", "etag"), ("date", "date"), ("vary", "vary"), ("content-length", "content_length"), ("cache-control", "cache_control"))))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -81,13 +119,64 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_lm_scores": op2_lm_scores,
     "op3_mix_sources": op3_mix_sources,
+    "op4_secret_scan": op4_secret_scan,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_revisit_resolution": op7_revisit_resolution,
     "op8_decontaminate": op8_decontaminate,
     "op9_fingerprints": op9_fingerprints,
+    "op10_repeated_units": op10_repeated_units,
 }
 
-ORACLES: dict[str, str] = {}
+_CANONICAL = """
+  WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+  b AS (SELECT page_id, html, split_part(bare, '?', 1) AS address, CASE WHEN instr(bare, '?') > 0 THEN substr(bare, instr(bare, '?') + 1) ELSE '' END AS query FROM a),
+  c AS (SELECT page_id, html,
+    regexp_replace(regexp_replace(lower(split_part(address, '/', 1)), '^(www|m)[.]', ''), ':(80|443)$', '')
+    || regexp_replace(substr(address, length(split_part(address, '/', 1)) + 1), '/+$', '') AS place,
+    list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z0-9_]+|ref|fbclid|gclid|sessionid|phpsessid)(=|$)'))) AS kept FROM b),
+  d AS (SELECT page_id AS n, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS u,
+    '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, length(coalesce(html, '')) AS size FROM c)"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_lm_scores": f"""
+  WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  t AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS c FROM d),
+  p AS (SELECT *, lag(c) OVER o AS b, lag(c, 2) OVER o AS a FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  q AS (SELECT doc_id, i,
+    count(*) OVER () AS n, count(*) OVER (PARTITION BY c) AS c1,
+    CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY b, c) END AS c2,
+    CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY a, b, c) END AS c3 FROM p),
+  r AS (SELECT *, lag(c1) OVER o AS before1, lag(c2) OVER o AS before2 FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  s AS (SELECT doc_id, CASE WHEN c3 >= 2 THEN ln(c3) - ln(before2) WHEN c2 >= 2 THEN ln(c2) - ln(before1) ELSE ln(c1) - ln(n) END
+    + CASE WHEN i > 2 AND c3 < 2 THEN ln(0.4) ELSE 0 END + CASE WHEN i > 1 AND c2 < 2 THEN ln(0.4) ELSE 0 END AS score,
+    CASE WHEN i > 2 AND c3 < 2 OR i = 2 AND c2 < 2 THEN 1 ELSE 0 END AS backed FROM r)
+  SELECT d.doc_id, any_value(len(d.w)) AS n_words, round(sum(s.score), 3) AS log_score, CAST(coalesce(sum(s.backed), 0) AS BIGINT) AS n_backed_off
+  FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id""",
+    "op7_revisit_resolution": _CANONICAL
+    + """,
+  r AS (SELECT n, u, n AS t0, 'response-' || n AS id, CASE WHEN n % 13 <> 0 THEN tag END AS tag, CASE WHEN n % 13 = 0 THEN 'day ' || (n % 28) END AS dated, size FROM d),
+  v AS (SELECT n, u, n + 336 AS t0, 'revisit-' || n AS id,
+    CASE WHEN n % 7 = 0 THEN '"other"' WHEN n % 11 <> 0 AND n % 13 <> 0 THEN 'W/' || tag END AS tag,
+    CASE WHEN n % 13 = 0 THEN 'day ' || (n % 28) END AS dated FROM d),
+  m AS (SELECT v.id, v.u, v.t0, v.tag, v.dated, max_by(r.id, (r.t0, r.id)) AS rid, max(r.t0) AS rat,
+    max_by({'t': r.tag, 'd': r.dated, 's': r.size}, (r.t0, r.id)) AS x
+    FROM v LEFT JOIN r ON r.u = v.u AND r.t0 < v.t0 GROUP BY ALL),
+  o AS (SELECT *, coalesce(regexp_replace(tag, '^W/', '') = x.t, dated = x.d) AS same FROM m)
+  SELECT id AS record_id, u AS canonical_url, t0 AS time, rid AS response_id, rat AS response_time,
+    CASE WHEN rid IS NULL THEN 'no response' WHEN same IS NULL THEN 'unchecked' WHEN same THEN 'resolved' ELSE 'mismatch' END AS outcome,
+    CASE WHEN same THEN coalesce(tag, x.t) ELSE tag END AS etag, CAST(t0 AS VARCHAR) AS date, 'accept' AS vary,
+    CASE WHEN same THEN CAST(x.s AS VARCHAR) ELSE '0' END AS content_length,
+    CASE WHEN same THEN 'max-age=60' END AS cache_control
+  FROM o""",
+}
