@@ -177,8 +177,8 @@ def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, id: st
     return found.select(F.col("_id").alias(id), start.alias("start"), "token", "probability")
 
 
-def redact(docs: DataFrame, model: RandomForestClassificationModel, id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with ``[secret]`` for each secret in ``text``.
+def redact(docs: DataFrame, model: RandomForestClassificationModel, id: str = "doc_id", text: str = "text", least: float = 0.5, changed: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with ``[secret]`` for each secret in ``text``, and whether there was any in ``changed`` if named.
 
     All rows stay, null and empty texts as they are. Only texts with candidates are shuffled, by id and content.
     """
@@ -186,7 +186,9 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, id: str = "d
     key = {"_k1": F.xxhash64(F.col(id).cast("string"), text), "_k2": F.xxhash64(text, F.lit(7))}
     rows = docs.where(some).withColumns(key)
     found = judge(candidates(rows, ["_k1", "_k2"], text), model).where(F.col("probability") >= least)
-    secrets = found.groupBy("_k1", "_k2").agg(F.collect_set("token").alias("_secrets"))
+    secrets = found.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set(F.struct(-F.length("token"), "token")))["token"].alias("_secrets"))
     clean = F.aggregate("_secrets", F.col(text), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    changed = rows.join(secrets, ["_k1", "_k2"], "left").withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean))
-    return docs.where(~some).unionByName(changed.select(*docs.columns))
+    joined = rows.join(secrets, ["_k1", "_k2"], "left").withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean))
+    flags = lambda df, flag: df if changed is None else df.withColumn(changed, flag)
+    names = [*docs.columns, *([changed] if changed else [])]
+    return flags(docs.where(~some), F.lit(False)).unionByName(flags(joined, F.col("_secrets").isNotNull()).select(*names))
