@@ -1,4 +1,9 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Every stage takes what the stage before it kept. An empty table passes through
+all of them; null and empty texts are kept by the first four, and extra columns
+stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +13,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import decontaminate, is_contaminated
+from millrace.llm.jaccard import jaccard_components
+from millrace.llm.mixing import cyclic_weights, mix_sources, n_words, repetitions
+from millrace.llm.queries import held_out
+from millrace.llm.secrets import labelled_findings, redact, train
 from millrace.llm.storage import cut
+from millrace.llm.toxicity import fit, score
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay if they score less than a half."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), use=~held_out())
+    return score(docs, model, out="_toxicity").where(F.col("_toxicity.score") < 0.5).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that of the smallest id stays.
+
+    Rows that repeat an id stay or go together, and those without an id stay.
+    """
+    groups = jaccard_components(docs, n=5, threshold=0.8)
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay unless benchmark windows cover a twentieth of their words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, benchmark).where(~is_contaminated()).select(*docs.columns)
+    return decontaminate(docs, benchmark, out="_search").where(~is_contaminated("_search")).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with their secrets redacted and ``n_chars`` counted anew where they were."""
+    cleaned = redact(docs, train(labelled_findings(spark)), changed="_changed")
+    n_chars = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, numbered in ``repetition``; the last may be a part of its text."""
+    return repetitions(mix_sources(docs, cyclic_weights(docs), n_words(F.col("text"))))
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
     ("benchmark decontamination", benchmark_decontamination),
+    ("secret scan", secret_scan),
+    ("mixing", mixing),
 ]
 
 #: Not every stage can be expressed in SQL.
