@@ -122,12 +122,15 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     use = F.lit(True) if use is None else use
     turn = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit(5)), F.lit(5))
     counted = _counts(_labelled(docs, labels, id, text, label, use & (turn != 0), FIT_DOCS))
-    rows = counted.toPandas()
-    total = rows[rows.level < 0]
-    n1, n0 = int(total.toxic.sum()), int(total.clean.sum())
+    found = counted.toArrow()
+    rows = {c: found.column(c).to_numpy() for c in found.column_names}
+    del found
+    total = rows["level"] < 0
+    n1, n0 = int(rows["toxic"][total].sum()), int(rows["clean"][total].sum())
     if not n1 or not n0:
         return Model()
-    model = _word_model(rows[rows.level >= 0], n1, n0)
+    model = _word_model(rows, n1, n0)
+    del rows
     _calibrate(model, _labelled(docs, labels, id, text, label, use & (turn == 0), CALIBRATE_DOCS))
     return model
 
@@ -158,26 +161,25 @@ def _counts(texts_: DataFrame) -> DataFrame:
     return summed.where((F.col("level") < 0) | (F.col("toxic") + F.col("clean") >= MIN_DOCS))
 
 
-def _word_model(rows, n1: int, n0: int) -> Model:
+def _word_model(rows: dict[str, np.ndarray], n1: int, n0: int) -> Model:
     base = n1 / (n1 + n0)
     keys: list[np.ndarray] = []
     scores: list[np.ndarray] = []
     above_key, above = np.zeros(1, np.uint64), np.array([base])
     for k in range(len(STEMS) + 1):
-        own = rows[rows.level == k].copy()
-        own["key"] = own.key.to_numpy().view(np.uint64)
-        own = own.sort_values("key")
-        parent = own.parent.to_numpy().view(np.uint64)
+        own = np.flatnonzero(rows["level"] == k)
+        own = own[np.argsort(rows["key"][own].view(np.uint64))]
+        key, parent = (rows[c][own].view(np.uint64) for c in ("key", "parent"))
         at = np.minimum(np.searchsorted(above_key, parent), len(above_key) - 1)
         prior = np.clip(np.where(above_key[at] == parent, above[at], base), 0.02, 0.98) if len(own) else np.zeros(0)
-        one, zero = own.toxic.to_numpy() + PRIOR * prior, own.clean.to_numpy() + PRIOR * (1 - prior)
+        one, zero = rows["toxic"][own] + PRIOR * prior, rows["clean"][own] + PRIOR * (1 - prior)
         share = one / (one + zero)
         odds = np.log(one / zero) - np.log(base / (1 - base))
         error = np.sqrt(1 / (one + 0.5) + 1 / (zero + 0.5))
-        keys.append(own.key.to_numpy())
+        keys.append(key)
         scores.append(np.where(odds > 0, np.maximum(odds - CAUTION * error, 0), np.minimum(odds + CAUTION * error, 0)))
         if len(own):
-            above_key, above = own.key.to_numpy(), share
+            above_key, above = key, share
     key, score = np.concatenate(keys), np.concatenate(scores)
     key, first = np.unique(key, return_index=True)
     return Model(key, score[first])
@@ -202,18 +204,19 @@ def _calibrate(model: Model, texts_: DataFrame) -> None:
             rows.append({"toxic": -1, "n": 0, "found": [], "histogram": histogram.tolist()})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64())), ("histogram", pa.list_(pa.int64()))]))
 
-    rows = texts_.mapInArrow(run, "toxic int, n bigint, found array<double>, histogram array<bigint>").collect()
-    histogram = sum((np.array(r.histogram) for r in rows if r.toxic < 0), np.zeros(len(edges) + 1, np.int64))
-    rows = [r for r in rows if r.toxic >= 0]
-    if len({r.toxic > 0 for r in rows}) < 2:
+    table = texts_.mapInArrow(run, "toxic int, n bigint, found array<double>, histogram array<bigint>").toArrow()
+    toxic, n = table.column("toxic").to_numpy(), table.column("n").to_numpy()
+    histogram = sum((np.array(h.as_py()) for h, t in zip(table.column("histogram"), toxic, strict=True) if t < 0), np.zeros(len(edges) + 1, np.int64))
+    found = [np.array(f.as_py(), float) for f in table.column("found")]
+    if len(set(toxic[toxic >= 0] > 0)) < 2:
         model.slope, model.offset = 1.0, -4.0
         return
     middle = np.concatenate([[edges[0]], (edges[1:] + edges[:-1]) / 2, [edges[-1]]]) - DRIFT
     model.rate = _rate(middle, histogram)
-    best = [model.rate * r.found[0] - np.log(max(r.n, 1)) for r in rows if not r.toxic and r.found]
+    best = [model.rate * f[0] - np.log(max(m, 1)) for t, m, f in zip(toxic, n, found, strict=True) if t == 0 and len(f)]
     model.ln_k = float(np.mean(best) - np.euler_gamma) if best else 0.0
-    statistic = np.array([evidence(model.excess(r.n, [(s, 0, 0) for s in r.found])) for r in rows])
-    model.slope, model.offset = _curve(statistic, np.array([r.toxic > 0 for r in rows]))
+    statistic = np.array([evidence(model.excess(int(m), [(s, 0, 0) for s in f])) for t, m, f in zip(toxic, n, found, strict=True) if t >= 0])
+    model.slope, model.offset = _curve(statistic, toxic[toxic >= 0] > 0)
 
 
 def _rate(score: np.ndarray, count: np.ndarray) -> float:
