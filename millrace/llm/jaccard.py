@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .scoring import pack, pack_counts, unpack, unpack_counts
 from .storage import cut
 from .words import gram_hash, grams, lists, longs, mix, pieces, split
 
@@ -33,6 +34,8 @@ _BAND = 0.65
 #: Entries of up to so many documents are joined with themselves; those of more are searched by rarest columns.
 _FEW = 24
 _E_BITS = 24
+#: Bytes of text behind a chunk of crowded documents, and bits by which a column's count is found beyond those that tell bytes apart.
+_CHUNK_BYTES, _SPARE_BITS = 8 << 20, 6
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +195,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     entered = _map(rows, "text", f"id {kind}, packed bigint, entry bigint", _entries(n, threshold)).repartition(parts, "entry")
     shared = entered.groupBy("entry").agg(F.min("id").alias("first"), F.count("*").alias("k"), F.max("packed").alias("most"))
     e = F.col("packed") % (1 << _E_BITS)
-    hits = cut(entered.join(shared, "entry").where((F.col("k") > 1) | (F.col("most") % (1 << _E_BITS) == 0)).select("entry", "id", "packed", "first"))
+    hits = cut(entered.join(shared, "entry").where((F.col("k") > 1) | (F.col("most") % (1 << _E_BITS) == 0)).select("entry", "id", "packed", "first"), free=True)
     hits = hits.select("entry", "id", "first", F.shiftright("packed", _E_BITS).alias("size"), e.alias("e"))
     whole = hits.where("e = 0").select("id", "first", "size")
     links = representative_links(rows, hits.where("e > 0"), whole.select("first").distinct(), kind, n, threshold)
@@ -213,22 +216,68 @@ def _enough(share: float) -> Column:
     return (100 * small >= round(share * 100) * large) & (F.col("common") >= F.greatest("e", "e2") - differ)
 
 
-def rare_first_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) across components that may reach the threshold, of rows (id, cols, c).
+def _chunk_sets(text: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, of many texts."""
+    codes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for batch in pieces(pa.table({"text": text}).to_batches(), "text"):
+        code, to = shingle_sets(batch.column(0), n)
+        codes.append(code)
+        sizes.append(np.diff(to))
+    return np.concatenate(codes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def rare_first_pairs(docs: DataFrame, kind: str, n: int, threshold: float) -> DataFrame:
+    """Pairs (x, y) across components that may reach the threshold, of rows (id, text, c).
 
     A set's columns are ranked rarest first, so that columns of a single document come before all shared ones. Two
     sets that reach the threshold have their first common column among the first ``size - ceil(threshold * size) + 1``
     of either, and no more columns in common than follow it in the shorter rest.
+
+    How many documents have a column is asked for in chunks, as packed lists, and only a set's first columns are
+    shuffled one by one, less those of a single document. Counts go by shortened hashes: columns that share one may
+    rank later than they should, but alike in all sets.
     """
     percent = round(threshold * 100)
-    cells = sets.select("id", "c", F.size("cols").alias("size"), F.explode("cols").alias("col"))
-    counts = cells.groupBy("col").agg(F.count("*").alias("k")).where("k > 1")
-    shared = cells.join(counts, "col")
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("id"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("k", "col"))
-    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    near = shared.withColumn("at", (alone + rank).cast("int")).where(F.col("at") <= first).select("col", "id", "c", "size", "at")
-    near = cut(near)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    parts = math.ceil(size / _CHUNK_BYTES)
+    bits = min(64, max(32, size.bit_length() + _SPARE_BITS))
+    rows = docs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    brief = lambda code: mix(code) >> np.uint64(64 - bits)
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        col, count = np.unique(brief(_chunk_sets(table.column("text"), n)[0]), return_counts=True)
+        part = ((col >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        to = np.append(at[1:], len(part))
+        lists_ = [[f(x[i:j]) for i, j in zip(at, to, strict=False)] for f, x in ((pack, col), (pack_counts, count))]
+        return pa.table({"part": pa.array(part[at], pa.int32()), "chunk": pa.array([key[0].as_py()] * len(at), pa.int32()), "cols": pa.array(lists_[0], pa.binary()), "counts": pa.array(lists_[1], pa.binary())})
+
+    def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        col = [unpack(b) for b in table.column("cols").to_pylist()]
+        count = np.concatenate([unpack_counts(b) for b in table.column("counts").to_pylist()])
+        _, which = np.unique(np.concatenate(col), return_inverse=True)
+        total = np.bincount(which, count).astype(np.int64)[which]
+        edge = np.cumsum([0, *map(len, col)])
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([pack_counts(total[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
+
+    def first_columns(left: pa.Table, right: pa.Table) -> pa.Table:
+        code, to = _chunk_sets(left.column("text"), n)
+        answers = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True))
+        total = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(b) for _, b in answers)])
+        k = total[np.unique(brief(code), return_inverse=True)[1]]
+        own = np.diff(to)
+        doc = np.repeat(np.arange(len(own)), own)
+        order = np.lexsort((code, k, doc))
+        at = np.arange(len(code)) - to[doc] + 1
+        first = own - -(-own * percent // 100) + 1
+        keep = np.flatnonzero((k[order] > 1) & (at <= first[doc]))
+        of = pa.array(doc[keep])
+        take = lambda c: left.column(c).take(of)
+        return pa.table({"col": pa.array(longs(code[order][keep])), "id": take("id"), "c": take("c"), "size": pa.array(own[doc[keep]], pa.int32()), "at": pa.array(at[keep], pa.int32())})
+
+    sent = rows.groupBy("chunk").applyInArrow(send, "part int, chunk int, cols binary, counts binary")
+    answered = sent.groupBy("part").applyInArrow(add_up, "chunk int, part int, totals binary")
+    near = cut(rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(first_columns, f"col bigint, id {kind}, c {kind}, size int, at int"))
     other = near.select("col", *(F.col(c).alias(f"{c}2") for c in ("id", "c", "size", "at")))
     most = 1 + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
     return (
@@ -244,17 +293,19 @@ def representative_links(rows: DataFrame, hits: DataFrame, reps: DataFrame, kind
     """Links (a, b) between representatives that are enough to connect what is linked."""
     own = hits.select("entry", "id", "size", "e").join(reps.withColumnRenamed("first", "id"), "id", "left_semi")
     differ = F.floor((1 - threshold) / (1 + threshold) * (F.col("size") + F.floor(F.col("size") / threshold + 1e-9)) + 1e-9)
-    own = own.withColumn("met", F.count("*").over(Window.partitionBy("id", "size", "e"))).where(F.col("met") >= F.col("e") - differ).drop("met")
+    enough_met = lambda df: df.withColumn("met", F.count("*").over(Window.partitionBy("id", "size", "e"))).where(F.col("met") >= F.col("e") - differ).drop("met")
+    own = enough_met(own)
     every = own.groupBy("entry").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("k")).where("first <> last")
-    own = cut(own.join(every.drop("last"), "entry"))
+    own = cut(own.join(every.drop("last"), "entry"), free=True)
     lead = own.where("id = first").select("entry", F.col("size").alias("size2"), F.col("e").alias("e2"))
     star = own.where("id <> first").join(lead, "entry").groupBy(F.col("first").alias("x"), F.col("id").alias("y"), "size", "e", "size2", "e2").agg(F.count("*").alias("common"))
     star = cut(star.where(_enough(threshold)).select("x", "y").distinct())
     links = cut(verify(star, _sets_of(rows, star, kind, n), threshold))
     label = components(links)
-    now = own.join(label, own["id"] == label["node"], "left").select("entry", "id", "size", "e", "k", F.coalesce("component", "id").alias("c"))
-    several = now.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("entry")
-    now = cut(now.join(several, "entry", "left_semi"))
+    now = own.join(label, own["id"] == label["node"], "left").select("entry", "id", "size", "e", F.coalesce("component", "id").alias("c"))
+    for _ in range(2):  # entries of one component go, then documents that have too few left to be linked across
+        several = now.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("entry", "k")
+        now = cut(enough_met(now.drop("k").join(several, "entry")), free=True)
     crowd = cut(now.where(F.col("k") > _FEW).select("id", "c").distinct())
     few = now.where(F.col("k") <= _FEW).join(crowd.select("id", F.lit(True).alias("crowd")), "id", "left").na.fill(False, ["crowd"])
     other = few.select("entry", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "e", "c", "crowd")))
@@ -267,8 +318,8 @@ def representative_links(rows: DataFrame, hits: DataFrame, reps: DataFrame, kind
         .select("x", "y")
         .distinct()
     )
-    crowd_sets = _sets_of(rows, crowd.select("id"), kind, n).join(crowd, "id")
-    pairs = cut(across.union(rare_first_pairs(crowd_sets, threshold)).join(star, ["x", "y"], "left_anti"))
+    crowded = cut(rows.join(crowd, "id"))
+    pairs = cut(across.union(rare_first_pairs(crowded, kind, n, threshold)).join(star, ["x", "y"], "left_anti"))
     return links.union(verify(pairs, _sets_of(rows, pairs, kind, n), threshold))
 
 

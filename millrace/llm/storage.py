@@ -19,10 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
-    The files survive the loss of any executor; they go when the driver's JVM ends.
+    The files survive the loss of any executor; they go with ``release`` or when the driver's JVM ends. What was
+    shuffled to make them isn't needed any more: Spark deletes it once the driver's plans of it are collected as
+    garbage. ``free`` asks for that now, after large shuffles.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
@@ -30,4 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    if free:
+        jvm.System.gc()
+    again = spark.read.schema(df.schema).parquet(path)
+    again._cut_path = path
+    return again
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind what ``cut`` returned, when nothing will read them again."""
+    path = df.__dict__.pop("_cut_path")
+    where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
