@@ -1,0 +1,51 @@
+"""Column expressions: typed access to fields, and summaries of a group's values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Types a field can be read as.
+KINDS = ("string", "int", "bigint", "smallint", "tinyint", "float", "double", "boolean", "binary")
+
+
+def get(name: str, kind: str) -> Column:
+    """A field as another type; numbers convert to each other, and what can't be converted is an error."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown type {kind!r}")
+    return F.col(name).cast(kind)
+
+
+def get_or_default(name: str, kind: str, default: object) -> Column:
+    """A field, or ``default`` where it is null."""
+    return F.coalesce(get(name, kind), F.lit(default).cast(kind))
+
+
+def get_or_fail(name: str, kind: str) -> Column:
+    """A field; a null one ends the query with an error."""
+    return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is null"))).otherwise(get(name, kind))
+
+
+def contains(name: str) -> Column:
+    return F.col(name).isNotNull()
+
+
+def list_or_empty(name: str) -> Column:
+    """An array, or an empty one where it is null."""
+    return F.coalesce(F.col(name), F.array())
+
+
+def latest_of(*times: Column) -> Column:
+    """The latest of several times, null if any is null."""
+    known = F.lit(True)
+    for t in times:
+        known = known & t.isNotNull()
+    return F.when(known, F.greatest(*times) if len(times) > 1 else times[0])
+
+
+def summary(value: str, digits: int = 6) -> dict[str, Column]:
+    """Mean, deviation, extremes and percentiles of a column, as aggregates by name. Percentiles are exact."""
+    share = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p98": 0.98, "p99": 0.99, "p999": 0.999}
+    own = {"mean": F.avg(value), "stddev": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
+    own |= {n: F.percentile(value, F.lit(p)) for n, p in share.items()}
+    return {n: F.round(c, digits) for n, c in own.items()}

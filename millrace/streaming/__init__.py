@@ -1,0 +1,139 @@
+"""Keyed operators on streams: what a key has seen so far is its state, kept by Spark between micro-batches.
+
+A micro-batch's rows are put in order by key before a step sees them; between
+micro-batches the order is that of the source. Streams need the RocksDB state
+store (``STATE_STORE``).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.files import fresh_path
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+#: From a key's state (None at first) and its new rows in order to its state then and output rows (without the key).
+Step = Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+
+
+class _Keyed(StatefulProcessor):
+    def __init__(self, keys: list[str], order_by: list[str], state: T.StructType, step: Step, outputs: list[str]) -> None:
+        self.keys, self.order_by, self.schema, self.step, self.outputs = keys, order_by, state, step, outputs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(self.order_by, kind="stable", ignore_index=True)
+        state, out = self.step(self.state.get() if self.state.exists() else None, new)
+        self.state.update(state)
+        for name, value in zip(self.keys, key, strict=True):
+            out[name] = value
+        yield out[self.outputs]
+
+    def close(self) -> None:
+        pass
+
+
+def stateful(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], state: str, step: Step, outputs: str) -> DataFrame:
+    """A custom operator: ``step`` for each key and micro-batch; ``outputs`` are the columns beside ``keys``."""
+    schema = T.StructType([*(stream.schema[k] for k in keys), *T.StructType.fromDDL(outputs)])
+    processor = _Keyed(list(keys), list(order_by), T.StructType.fromDDL(state), step, schema.names)
+    return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+
+
+def stream_count_window(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], size: int, value: str) -> DataFrame:
+    """``keys``, ``window``, ``total`` of every ``size`` values of a key; the open window waits in the state."""
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        n, total = state or (0, 0.0)
+        place = pd.Series(range(n, n + len(rows)))
+        sums = rows[value].fillna(0.0).groupby(place // size).sum()
+        if n % size and len(sums):
+            sums.iloc[0] += total
+        n += len(rows)
+        rest = float(sums.iloc[-1]) if n % size and len(sums) else 0.0
+        done = sums[sums.index < n // size]
+        return (n, rest), pd.DataFrame({"window": done.index.astype("int32"), "total": done.to_numpy(float)})
+
+    return stateful(stream, keys, order_by, "n bigint, total double", step, "window int, total double")
+
+
+def stream_ema(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, weight: float) -> DataFrame:
+    """``keys``, ``order_by`` and ``value``: the exponential moving average at each row."""
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        own = rows[value].fillna(0.0)
+        both = own if state is None else pd.concat([pd.Series([state[0]]), own], ignore_index=True)
+        found = both.ewm(alpha=weight, adjust=False).mean().iloc[-len(own) :].to_numpy()
+        return (float(found[-1]),), rows[list(order_by)].assign(value=found)
+
+    fields = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in order_by)
+    return stateful(stream, keys, order_by, "value double", step, f"{fields}, value double")
+
+
+def stream_running(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str) -> DataFrame:
+    """``keys``, ``order_by``, ``n`` and ``total``: count and sum of a key's values up to each row."""
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        n, total = state or (0, 0.0)
+        sums = total + rows[value].fillna(0.0).cumsum()
+        return (n + len(rows), float(sums.iloc[-1])), rows[list(order_by)].assign(n=range(n + 1, n + len(rows) + 1), total=sums)
+
+    fields = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in order_by)
+    return stateful(stream, keys, order_by, "n bigint, total double", step, f"{fields}, n bigint, total double")
+
+
+def stream_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, take: str, value: str) -> DataFrame:
+    """``keys``, ``by``, ``value`` of each left row, and ``take``, the key's latest right value at that time or before; without one there is no row.
+
+    Both streams have the columns ``by``, and a double ``value`` or ``take``. Right rows come first where times tie.
+    """
+    ours = left.select(*keys, by, F.lit(1).alias("_side"), F.col(value).cast("double").alias("_value"))
+    theirs = right.select(*keys, by, F.lit(0).alias("_side"), F.col(take).cast("double").alias("_value"))
+
+    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        met = rows["_value"].where(rows["_side"] == 0).ffill()
+        if state is not None and state[0] is not None:
+            met = met.fillna(state[0])
+        last = met.iloc[-1]
+        found = rows.assign(**{take: met})[(rows["_side"] == 1) & met.notna()]
+        return (None if pd.isna(last) else float(last),), found.rename(columns={"_value": value})[[by, value, take]]
+
+    kind = left.schema[by].dataType.simpleString()
+    return stateful(ours.unionByName(theirs), keys, [by, "_side"], "value double", step, f"{by} {kind}, {value} double, {take} double")
+
+
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source has now, a micro-batch after the other, and return the rows that it wrote.
+
+    Rows and checkpoint are in the shared folder, so that another executor can go on where one was lost.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(*STATE_STORE)
+    out = fresh_path(spark, "stream")
+    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", fresh_path(spark, "state")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def as_stream(spark: SparkSession, df: DataFrame, by: str, files: int = 3) -> DataFrame:
+    """The rows of ``df`` as a stream of ``files`` micro-batches in ascending ``by``."""
+    path = fresh_path(spark, "source")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // files))
+    for k in range(files):
+        df.where(F.col(by).between((low or 0) + k * step, (low or 0) + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows by event-time window and keys; rows more than ``late`` behind are dropped."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
