@@ -101,11 +101,10 @@ def stream_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
 
     def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         met = rows["_value"].where(rows["_side"] == 0).ffill()
-        if state is not None and state[0] is not None:
+        if state is not None:
             met = met.fillna(state[0])
-        last = met.iloc[-1]
         found = rows.assign(**{take: met})[(rows["_side"] == 1) & met.notna()]
-        return (None if pd.isna(last) else float(last),), found.rename(columns={"_value": value})[[by, value, take]]
+        return (float(met.iloc[-1]),), found.rename(columns={"_value": value})[[by, value, take]]
 
     kind = left.schema[by].dataType.simpleString()
     return stateful(ours.unionByName(theirs), keys, [by, "_side"], "value double", step, f"{by} {kind}, {value} double, {take} double")
