@@ -96,18 +96,18 @@ def stream_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str,
 
     Both streams have the columns ``by``, and a double ``value`` or ``take``. Right rows come first where times tie.
     """
-    ours = left.select(*keys, by, F.lit(1).alias("_side"), F.col(value).cast("double").alias("_value"))
-    theirs = right.select(*keys, by, F.lit(0).alias("_side"), F.col(take).cast("double").alias("_value"))
+    ours = left.select(*keys, by, F.lit(1).alias("side"), F.col(value).cast("double").alias("number"))
+    theirs = right.select(*keys, by, F.lit(0).alias("side"), F.col(take).cast("double").alias("number"))
 
     def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        met = rows["_value"].where(rows["_side"] == 0).ffill()
+        met = rows["number"].where(rows["side"] == 0).ffill()
         if state is not None:
             met = met.fillna(state[0])
-        found = rows.assign(**{take: met})[(rows["_side"] == 1) & met.notna()]
-        return (float(met.iloc[-1]),), found.rename(columns={"_value": value})[[by, value, take]]
+        found = rows.assign(**{take: met})[(rows["side"] == 1) & met.notna()]
+        return (float(met.iloc[-1]),), found.rename(columns={"number": value})[[by, value, take]]
 
     kind = left.schema[by].dataType.simpleString()
-    return stateful(ours.unionByName(theirs), keys, [by, "_side"], "value double", step, f"{by} {kind}, {value} double, {take} double")
+    return stateful(ours.unionByName(theirs), keys, [by, "side"], "value double", step, f"{by} {kind}, {value} double, {take} double")
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
