@@ -77,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, size: Column, id: str = "do
     rows = docs.withColumns({"_mix_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), "_mix_key": _key(source), "_mix_hash": hash_})
     n = max(1, -(-docs.select(F.lit(1)).count() // BUCKET_DOCS))
     bucket = F.pmod(F.shiftrightunsigned("_mix_hash", 20), F.lit(n))
-    buckets = cut(rows.withColumn("_mix_bucket", bucket).groupBy("_mix_key", "_mix_bucket").agg(F.sum("_mix_size").alias("words")))
+    buckets = cut(rows.withColumn("_mix_bucket", bucket).groupBy("_mix_key", "_mix_bucket").agg(F.sum("_mix_size").alias("words")), free=True)
     weight = weights.groupBy(_key(source).alias("_mix_key")).agg(F.max("weight").alias("weight"))
     totals = cut(buckets.groupBy("_mix_key").agg(F.sum("words").alias("source_size")).join(weight, "_mix_key", "left").na.fill(0.0, ["weight"]))
     total = totals.agg(F.sum("source_size")).first()[0] or 0

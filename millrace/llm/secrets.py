@@ -150,7 +150,9 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 3, l
     Findings with a null in any of these are left out. There must be some of either label.
     """
     rows = findings.select("before", "token", "after", F.col("label").cast("double").alias("label")).na.drop().limit(limit)
-    return RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(_vectors(rows))
+    model = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(_vectors(rows))
+    rows.sparkSession.sparkContext._jvm.System.gc()  # what was gathered for the fit goes before the scan begins
+    return model
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
