@@ -30,7 +30,7 @@ def sequence(spark):
 
 def test_ema_vectors(spark):
     df = spark.createDataFrame([(1, 10.0), (2, 4.0), (3, None)], "t int, x double")
-    assert rows(windows.ema(df, [], ["t"], "x", 0.5), "t", "value") == [(1, 10.0), (2, 7.0), (3, 3.5)]
+    assert [v for _, v in rows(windows.ema(df, [], ["t"], "x", 0.5), "t", "value")] == pytest.approx([10.0, 7.0, 3.5])
     assert rows(windows.ema(df, [], ["t"], "x", 1.0), "value") == [(0.0,), (4.0,), (10.0,)]
     with pytest.raises(ValueError):
         windows.ema(df, [], ["t"], "x", 0.0)
@@ -82,7 +82,6 @@ def test_positions_don_t_depend_on_ranges(spark, sequence, small_ranges, monkeyp
         rows(ordering.numbered(sequence, [], ["t"]), "t", "pos"),
         rows(windows.running(sequence, ["k"], ["t"], aggs), "t", *aggs),
         rows(windows.moving(sequence, ["k"], ["t"], 7, {"m": F.sum("x")}), "t", "m"),
-        rows(joins.asof_join(sequence, sequence.select("k", F.col("t").alias("u"), F.col("t")).where("t % 5 = 0"), ["k"], "t", ["u"], exact=False, how="left"), "t", "u") if False else None,
     )
     split = made()
     monkeypatch.setattr(ordering, "RANGE_ROWS", 10**6)
