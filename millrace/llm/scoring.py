@@ -26,31 +26,51 @@ CHUNK_BYTES = 8 << 20
 SPARE_BITS = 22
 
 
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first: the upper ones are mostly 0 and compress to little."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Ascending uint64 as differences of as few bytes as the largest needs; the first is kept whole."""
+    """Ascending uint64: the first, then differences of as few bytes as make the whole shortest; the upper bits of longer ones follow."""
     step = np.diff(x)
-    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
-    return bytes([width]) + x[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    bits = np.sort(np.ceil(np.log2(step.astype(float) + 1)))
+    longer = [len(step) - int(np.searchsorted(bits, 8 * w, "right")) for w in range(1, 9)]
+    width = 1 + int(np.argmin([len(step) * (w + (n > 0) / 8) + (9 - w) * n / 2 for w, n in zip(range(1, 9), longer, strict=True)]))
+    above = step >> np.uint64(8 * width) if width < 8 else np.zeros(len(step), np.uint64)
+    long_ = above > 0
+    extra = _ZSTD.compress(np.packbits(long_).tobytes() + _planes(above[long_]), asbytes=True) if long_.any() else b""
+    head = np.array([width, len(step), int(long_.sum()), len(extra)], np.uint32).tobytes() + x[:1].tobytes()
+    return head + extra + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    width = b[0]
-    step = np.frombuffer(b, np.uint8, offset=9).reshape(-1, width)
-    whole = np.zeros((len(step) + 1, 8), np.uint8)
-    whole[1:, :width] = step
+    width, n, more, extra = (int(k) for k in np.frombuffer(b, np.uint32, 4))
+    whole = np.zeros((n + 1, 8), np.uint8)
+    whole[1:, :width] = np.frombuffer(b, np.uint8, n * width, 24 + extra).reshape(n, width)
     out = whole.view(np.uint64).ravel()
-    out[0] = np.frombuffer(b, np.uint64, 1, 1)[0]
+    if more:
+        mask = -(-n // 8)
+        rest = np.frombuffer(_ZSTD.decompress(b[24 : 24 + extra], mask + 8 * more, asbytes=True), np.uint8)
+        upper = np.ascontiguousarray(rest[mask:].reshape(8, more).T).view(np.uint64).ravel()
+        out[1 + np.flatnonzero(np.unpackbits(rest[:mask])[:n])] += upper << np.uint64(8 * width)
+    out[0] = np.frombuffer(b, np.uint64, 1, 16)[0]
     return np.cumsum(out, dtype=np.uint64)
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Counts in the least integer type that holds them, after its width."""
+    """Counts in the least integer type that holds them, after its width and their number."""
     kind = np.min_scalar_type(int(x.max()) if len(x) else 0)
-    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+    return np.array([kind.itemsize, len(x)], np.uint32).tobytes() + _ZSTD.compress(_planes(x.astype(kind)), asbytes=True)
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+    width, n = (int(k) for k in np.frombuffer(b, np.uint32, 2))
+    planes = np.frombuffer(_ZSTD.decompress(b[8:], width * n, asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 class _Grams:
