@@ -56,7 +56,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     if len(_powers.get(name, ())) < n:
-        grown = np.full(max(n, PIECE_BYTES * 2), base, np.uint64)
+        grown = np.full(max(n, min(1 << n.bit_length(), PIECE_BYTES * 2)), base, np.uint64)
         grown[0] = 1
         kept = np.multiply.accumulate(grown)
         if n > PIECE_BYTES * 2:
