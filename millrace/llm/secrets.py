@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 _CHARS = r"A-Za-z0-9+/_=.@\-"
 #: A maximal run of so many such characters, at least one a digit.
 CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_=.@\-]*+[0-9])[{_CHARS}]{{12,}}+"
@@ -150,6 +152,7 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 3, l
     Findings with a null in any of these are left out. There must be some of either label.
     """
     rows = findings.select("before", "token", "after", F.col("label").cast("double").alias("label")).na.drop().limit(limit)
+    rows = cut(rows.sortWithinPartitions(*rows.columns))  # every step of the fit reads them; one order gives one forest
     model = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(_vectors(rows))
     rows.sparkSession.sparkContext._jvm.System.gc()  # what was gathered for the fit goes before the scan begins
     return model
