@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from .words import mix, longs, pieces, split_bytes, texts
 
+#: Digests with more units than this are met by broadcast (one of them for as many units of the corpus at most), so that no task has all units of one.
+HOT = 20_000
+
 
 def unit_ends(buf: np.ndarray, unit: str) -> np.ndarray:
     """True for bytes that end a unit; ends of documents apart."""
@@ -88,9 +91,12 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit
     null id are left out; rows that repeat an id count as the same text, and stay or go together.
     """
     found = units(docs, id, text, unit, least)
-    firsts = found.groupBy("d1", "d2").agg(F.min("id").alias("kept_in"), F.max("id").alias("last"), F.max("again").alias("within"))
-    firsts = firsts.where((F.col("kept_in") != F.col("last")) | F.col("within")).select("d1", "d2", "kept_in")
-    gone = found.join(firsts, ["d1", "d2"]).where((F.col("id") != F.col("kept_in")) | F.col("again"))
+    firsts = found.groupBy("d1", "d2").agg(F.min("id").alias("kept_in"), F.max("id").alias("last"), F.max("again").alias("within"), F.count("*").alias("n"))
+    firsts = firsts.where((F.col("kept_in") != F.col("last")) | F.col("within"))
+    hot = firsts.where(F.col("n") > HOT).select("d1", "d2", F.col("kept_in").alias("hot"))
+    rest = firsts.where(F.col("n") <= HOT).select(F.col("d1").alias("key"), "d2", "kept_in")
+    met = found.join(F.broadcast(hot), ["d1", "d2"], "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("d1")).otherwise(F.xxhash64("id", "no")))
+    gone = met.join(rest, ["key", "d2"], "left").withColumn("kept_in", F.coalesce("hot", "kept_in")).where((F.col("id") != F.col("kept_in")) | (F.col("again") & F.col("kept_in").isNotNull()))
     return gone.select(F.col("id").alias(id), F.col("no").cast("long").alias("unit_no"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "kept_in")
 
 

@@ -120,7 +120,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(_table(spark, sf_dir, "documents"))
+    """Units of any length, as short lines repeat most."""
+    return repeated_units(_table(spark, sf_dir, "documents"), least=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

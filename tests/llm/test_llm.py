@@ -234,6 +234,16 @@ def test_repeated_units(spark, odd):
     assert lines.repeated_units(odd).count() == 0 and lines.repeated_units(odd.where("false")).count() == 0
 
 
+def test_short_repeated_units(spark, tmp_path, monkeypatch):
+    """The query removes repeats of any length, also those within a text."""
+    rows = [(1, "Les.\nA line of its own, not said twice."), (2, "les\nAnd ornd. Les!"), (3, "And ornd.\n--\nNew."), (4, "--\n...")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for hot in (lines.HOT, 2):
+        monkeypatch.setattr(lines, "HOT", hot)
+        gone = QUERIES["op10_repeated_units"](spark, str(tmp_path)).collect()
+        assert sorted((r.doc_id, r.unit_no, r.n_words, r.kept_in) for r in gone) == [(2, 0, 1, 1), (2, 2, 1, 1), (3, 0, 2, 2)]
+
+
 def test_scores_and_revisits_of_odd_rows(spark, odd):
     made = scoring.backoff_scores(odd)
     assert made.count() == odd.count() and made.where("lm_words = 0 and lm_score is null").count() == 3
