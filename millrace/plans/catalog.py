@@ -416,9 +416,16 @@ def stream_asof(spark, sf):
     return _streamed(made_(ours, theirs.withColumnRenamed("value", "price"), U, "ts", "price", "value"))
 
 
-@query
-def stream_windowed_counts(spark, sf):
-    from ..streaming import windowed_counts
+def all_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every window of the table, those that the watermark has not passed too."""
+    from ..streaming import run_latest, windowed_counts
 
     rows = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _streamed(windowed_counts(rows, "ts", "1 day", "2 days", ["event_type"])).where("start < timestamp'2024-01-25'").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    found = run_latest(windowed_counts(rows, "ts", "1 day", "2 days", ["event_type"]), ["start", "event_type"])
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query
+def stream_windowed_counts(spark, sf):
+    """Up to the date at which its SQL ends."""
+    return all_windowed_counts(spark, sf).where("start < timestamp_ntz'2024-01-25'")

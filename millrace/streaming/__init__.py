@@ -123,6 +123,26 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_latest(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As ``run_available``, for a stream that counts on: of each of ``keys`` (the rows' own) the last row that it gave.
+
+    So windows that the watermark has not passed are there too, as they stand at the end of input.
+    """
+    spark = stream.sparkSession
+    spark.conf.set(*STATE_STORE)
+    out = fresh_path(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", fresh_path(spark, "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*(F.col("last")[c].alias(c) if c in rest else c for c in stream.columns))
+
+
 def as_stream(spark: SparkSession, df: DataFrame, by: str, files: int = 3) -> DataFrame:
     """The rows of ``df`` as a stream of ``files`` micro-batches in ascending ``by``."""
     path = fresh_path(spark, "source")

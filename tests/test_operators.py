@@ -170,3 +170,14 @@ def test_flow_errors():
         Flow().build()
     with pytest.raises(ValueError):
         Flow().add("a", lambda x, y: x, inputs=[wide, narrow], partition_by=["x"])
+
+
+def test_windows_at_the_end_of_input(spark):
+    """A stream's counts by window are whole, also of windows that the watermark has not passed."""
+    from collections import Counter
+
+    from millrace.plans.catalog import all_windowed_counts
+
+    sf = "/root/testdata/sf0.001"
+    want = Counter((r.ts.date(), r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect())
+    assert {(r.start.date(), r.event_type): r.n for r in all_windowed_counts(spark, sf).collect()} == want
