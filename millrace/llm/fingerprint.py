@@ -5,41 +5,38 @@ positions every term draws from two gamma laws and a uniform one, the same in
 all texts; they round its weight down to a level and give it a rank, and the
 text's sample is the term and level of the smallest rank. Two texts agree at a
 position with a probability of their generalised Jaccard similarity (the sum
-of smaller weights by that of larger ones). Terms are words dealt to
-``TERMS`` hash values, so that the draws are a table of fixed size.
+of smaller weights by that of larger ones). Terms are 64-bit hashes of words, from
+which the draws are computed wherever a word is. The smallest rank, as 64 bits,
+stands for its term and level.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 64
-TERMS = 8191
-#: Levels that a sample tells apart, and hex digits of term and level together.
-_LEVELS, _DIGITS = 2048, 6
+#: Hex digits of a sample.
+_DIGITS = 16
 _WHITE = " \t\n\x0b\f\r"
 
 
-def draws(spark, samples: int = SAMPLES) -> DataFrame:
-    """``term`` (0 to TERMS, the last for texts without words) and arrays of what each sample needs of it.
-
-    ``TERMS + 1`` rows of three arrays of ``samples`` doubles, whatever the data.
-    """
+def rank(term: Column, log: Column, number: int) -> Column:
+    """Rank of a term of a weight's logarithm ``log`` (0 or more) at the sample ``number``; it lies between -256 and 256."""
+    bits = random.Random(number)
 
-    def uniform(tag: int):
-        return lambda j: (F.shiftrightunsigned(F.xxhash64("term", j, F.lit(tag)), 11).cast("double") + 1) / F.lit(float(2**53 + 1))
+    def drawn() -> Column:
+        return F.xxhash64(term.bitwiseXOR(F.lit(bits.getrandbits(64) - (1 << 63)).cast("long")))
 
-    def gamma(tag: int):
-        return lambda j: -F.log(uniform(tag)(j) * uniform(tag + 1)(j))
+    def gamma() -> Column:
+        h = drawn()
+        return -F.log((F.shiftrightunsigned(h, 32).cast("double") + 0.5) * (h.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) * F.lit(2.0**-64))
 
-    number = F.sequence(F.lit(1), F.lit(samples))
-    rate = F.transform(number, lambda j: gamma(0)(j))
-    base = spark.range(TERMS + 1).select(F.col("id").cast("int").alias("term"))
-    base = base.select("term", number.alias("n"), rate.alias("rate"))
-    shift = F.transform("n", lambda j: uniform(4)(j))
-    cost = F.transform("n", lambda j: F.log(gamma(2)(j)) + F.col("rate")[j - 1] * (uniform(4)(j) - 1))
-    return base.select("term", "rate", shift.alias("shift"), cost.alias("cost"))
+    rate, cost = gamma(), F.log(gamma())
+    shift = F.shiftrightunsigned(drawn(), 11).cast("double") * F.lit(2.0**-53)
+    return cost + rate * (shift - 1.0 - F.floor(log / rate + shift))
 
 
 def words_of(text: Column) -> Column:
@@ -48,28 +45,18 @@ def words_of(text: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES, out: str = "samples") -> DataFrame:
-    """``keys`` and ``out``, an array of the ``samples`` sampled terms and levels, one row for each different key.
+    """``keys`` and ``out``, an array of ``samples`` numbers that stand for the sampled terms and levels, one row for each different key.
 
     Rows that repeat a key are one bag of words. Null and empty texts and those of white space alone have one term of
     their own, so that they equal each other and nothing else. Null keys are keys. Other columns are not read.
 
     If ``rows`` is distributed by some of ``keys`` already, nothing is shuffled.
     """
-    spark = rows.sparkSession
     words = rows.select(*keys, F.explode(words_of(F.col(text))).alias("_word"))
-    term = F.when(F.col("_word") == "", F.lit(TERMS)).otherwise(F.pmod(F.xxhash64("_word"), F.lit(TERMS)).cast("int"))
-    counted = words.select(*keys, term.alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_count"))
-    table = draws(spark, samples).select(F.col("term").alias("_term"), *(F.col(c).alias(f"_{c}") for c in ("rate", "shift", "cost")))
-    weighed = counted.withColumn("_log", F.log(F.col("_count").cast("double"))).join(F.broadcast(table), "_term")
-
-    def sample(j: int) -> Column:
-        rate = F.col("_rate")[j]
-        level = F.floor(F.col("_log") / rate + F.col("_shift")[j])
-        rank = F.col("_cost")[j] - rate * level
-        return F.min((F.greatest((rank + 256) * float(1 << 28), F.lit(0.0))).cast("long") * (TERMS + 1) * _LEVELS + F.col("_term").cast("long") * _LEVELS + F.pmod(level, F.lit(_LEVELS)))
-
-    least = weighed.groupBy(*keys).agg(*(sample(j).alias(f"_{j}") for j in range(samples)))
-    picked = F.transform(F.array(*(F.col(f"_{j}") for j in range(samples))), lambda x: (x % ((TERMS + 1) * _LEVELS)).cast("int"))
+    counted = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_count"))
+    weighed = counted.withColumn("_log", F.log(F.col("_count").cast("double")))
+    least = weighed.groupBy(*keys).agg(*(F.min(rank(F.col("_term"), F.col("_log"), j)).alias(f"_{j}") for j in range(samples)))
+    picked = F.transform(F.array(*(F.col(f"_{j}") for j in range(samples))), lambda x: ((x + 256.0) * F.lit(2.0**53)).cast("long"))
     return least.select(*keys, picked.alias(out))
 
 

@@ -224,6 +224,13 @@ def test_fingerprints(spark, documents):
     assert abs(sum(error) / len(error)) < 0.02 and sum(e * e for e in error) / len(error) < 0.01
 
 
+def test_fingerprints_of_long_texts(spark):
+    """Many different words don't make texts alike."""
+    texts = [" ".join(f"{side}{i}" for i in range(20_000)) for side in "ab"] + [" ".join(f"{'a' if i % 2 else 'c'}{i}" for i in range(20_000))]
+    got = {r.doc_id: r for r in compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].near_next < 0.05 and got[1].near_next < 0.05 and abs(got[2].near_next - 1 / 3) < 0.2
+
+
 def test_repeated_units(spark, odd):
     one = "The quick brown fox jumps over dogs."
     docs = spark.createDataFrame([(1, f"É one. {one} More of it here and there now."), (2, f"{one.upper()} {one} Short one."), (3, None), (4, "")], "doc_id long, text string")
