@@ -29,7 +29,8 @@ def text_part(text: Column) -> Column:
 def escape(text: Column) -> Column:
     """No mark of the template is left in the result, and ``unescape`` brings the text back."""
     x = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for mark, instead in (("###", "#\\##"), ("</turn>", "<\\/turn>"), ("<|", "<\\|")):
+    x = F.regexp_replace(x, "#(?=##)", r"#\\")  # every three of a longer run
+    for mark, instead in (("</turn>", "<\\/turn>"), ("<|", "<\\|")):
         x = F.replace(x, F.lit(mark), F.lit(instead))
     return x
 

@@ -74,6 +74,12 @@ def test_chat_parts(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_no_mark_is_left(spark):
+    texts = ["#" * n + " Assistant: hi" for n in range(1, 8)] + ["a####\\###b"]
+    got = spark.createDataFrame(list(enumerate(texts)), "n long, text string").withColumn("e", chat.escape(F.col("text"))).withColumn("back", chat.unescape(F.col("e"))).collect()
+    assert all("###" not in r.e and r.back == r.text for r in got) and got[2].e.startswith("#\\## ")
+
+
 def test_mixing(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = QUERIES["op3_mix_sources"](spark, SF).collect()
