@@ -1,42 +1,64 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is a bag of words, each one's weight its count. For each of ``SAMPLES``
-positions every term draws from two gamma laws and a uniform one, the same in
-all texts; they round its weight down to a level and give it a rank, and the
-text's sample is the term and level of the smallest rank. Two texts agree at a
-position with a probability of their generalised Jaccard similarity (the sum
-of smaller weights by that of larger ones). Terms are 64-bit hashes of words, from
-which the draws are computed wherever a word is. The smallest rank, as 64 bits,
-stands for its term and level.
+positions every term has two gamma(2, 1) variables ``r`` and ``c`` and a uniform
+one ``b``, the same in all texts. A term of weight w stands at the level
+``t = floor(ln w / r + b)`` and has the rank ``c / exp(r (t + 1 - b))``; the text's
+sample is the term and level of the smallest rank. Two texts agree at a position
+with a probability of their generalised Jaccard similarity (the sum of smaller
+weights by that of larger ones).
+
+A gamma(2, 1) variable is the sum of two exponential ones, and the share of
+either in it is uniform and independent of the sum. So all three come from four
+exponential variables: ``c = A + B``, ``r = E + G`` with ``E = ln(c / A)``, and
+``b = G / r``. At level 0, where all words of count 1 are, the rank is just ``A``:
+only repeated words take logarithms.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ranges_of
+from .storage import cut
+
 SAMPLES = 64
-#: Hex digits of a sample.
-_DIGITS = 16
+#: Bytes of text behind a partition, and partitions at most; a partition of more text spills.
+PART_BYTES, MOST_PARTS = 32 << 20, 20_000
+#: Copies of a row that are made at a time.
+_COPIES = 10_000
 _WHITE = " \t\n\x0b\f\r"
 
 
-def rank(term: Column, log: Column, number: int) -> Column:
-    """Rank of a term of a weight's logarithm ``log`` (0 or more) at the sample ``number``; it lies between -256 and 256."""
-    bits = random.Random(number)
+#: One number for each sample, from which all its draws come.
+_SEEDS = [random.Random(number).getrandbits(63) for number in range(256)]
+
+
+def _drawn(term: Column, seed: Column, which: int) -> Column:
+    """One of the whole numbers below 2 ** 63 that belong to a term and a sample."""
+    return F.shiftrightunsigned(F.xxhash64(term.bitwiseXOR(seed), F.lit(which)), 1)
+
 
-    def drawn() -> Column:
-        return F.xxhash64(term.bitwiseXOR(F.lit(bits.getrandbits(64) - (1 << 63)).cast("long")))
+def single_rank(term: Column, number: int) -> Column:
+    """The rank of a term (a long) of count 1 at the sample ``number``: 63 bits, the share of the exponential law below it."""
+    return _drawn(term, F.lit(_SEEDS[number]), 0)
 
-    def gamma() -> Column:
-        h = drawn()
-        return -F.log((F.shiftrightunsigned(h, 32).cast("double") + 0.5) * (h.bitwiseAND(F.lit((1 << 32) - 1)).cast("double") + 0.5) * F.lit(2.0**-64))
 
-    rate, cost = gamma(), F.log(gamma())
-    shift = F.shiftrightunsigned(drawn(), 11).cast("double") * F.lit(2.0**-53)
-    return cost + rate * (shift - 1.0 - F.floor(log / rate + shift))
+def with_rank(rows: DataFrame) -> DataFrame:
+    """Rows of ``_term``, ``_count`` (2 or more) and ``_at``, the number of a sample, with ``_rank``; others (``_at`` below 0) get null there."""
+    some, term, seed = F.col("_at") >= 0, F.col("_term"), F.get(F.lit(_SEEDS), F.col("_at"))
+    uniform = lambda h: (h.cast("double") + 0.5) * F.lit(2.0**-63)
+    own, a, b, g, r = (F.col(f"_{c}") for c in ("own", "a", "b", "g", "r"))
+    rows = rows.withColumns({f"_{c}": F.when(some, _drawn(term, seed, k)) for k, c in enumerate(("own", "b", "g"))})
+    rows = rows.withColumns({"_a": -F.log1p(-uniform(own) * F.lit(1 - 2.0**-52)), "_b": -F.log(uniform(b)), "_g": -F.log(uniform(g)), "_w": F.when(some, F.col("_count").cast("double"))})
+    rows = rows.withColumn("_r", F.when(b <= (F.col("_w") - 1) * a, F.log1p(b / a) + g))  # ln w >= ln(c / a), so the level isn't 0
+    level = F.floor((F.log("_w") + g) / r)
+    lower = (-F.expm1(-(a + b) * F.exp(g - r * (level + 1))) * F.lit(2.0**63 - 1024)).cast("long")
+    return rows.withColumn("_rank", F.when(r.isNotNull(), lower).otherwise(own)).drop(*(f"_{c}" for c in ("own", "a", "b", "g", "w", "r")))
 
 
 def words_of(text: Column) -> Column:
@@ -50,14 +72,16 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", samples:
     Rows that repeat a key are one bag of words. Null and empty texts and those of white space alone have one term of
     their own, so that they equal each other and nothing else. Null keys are keys. Other columns are not read.
 
-    If ``rows`` is distributed by some of ``keys`` already, nothing is shuffled.
+    If ``rows`` is distributed by some of ``keys`` already, nothing is shuffled. A sample is 32 bits of a hash of the
+    rank, so samples that differ look alike once in four thousand millions.
     """
     words = rows.select(*keys, F.explode(words_of(F.col(text))).alias("_word"))
     counted = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_count"))
-    weighed = counted.withColumn("_log", F.log(F.col("_count").cast("double")))
-    least = weighed.groupBy(*keys).agg(*(F.min(rank(F.col("_term"), F.col("_log"), j)).alias(f"_{j}") for j in range(samples)))
-    picked = F.transform(F.array(*(F.col(f"_{j}") for j in range(samples))), lambda x: ((x + 256.0) * F.lit(2.0**53)).cast("long"))
-    return least.select(*keys, picked.alias(out))
+    places = F.when(F.col("_count") > 1, F.lit(list(range(samples)))).otherwise(F.lit([-1]))
+    ranked = with_rank(counted.withColumn("_at", F.explode(places)))
+    rank = lambda j: F.when(F.col("_at") < 0, single_rank(F.col("_term"), j)).when(F.col("_at") == j, F.col("_rank"))
+    least = ranked.groupBy(*keys).agg(*(F.min(rank(j)).alias(f"_{j}") for j in range(samples)))
+    return least.select(*keys, F.array(*(F.hash(F.col(f"_{j}")) for j in range(samples))).alias(out))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -66,35 +90,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(samples: Column) -> Column:
-    return F.array_join(F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x), _DIGITS, "0"))), "")
-
-
-def in_ranges(rows: DataFrame, id: str, ranges: int) -> DataFrame:
-    """Adds ``_range``, so that ids of a range lie between those of the ranges before and after it."""
-    share = [k / ranges for k in range(1, ranges)] or [0.5]
-    bounds = sorted(set(rows.agg(F.percentile_approx(id, F.lit(share), F.lit(20 * ranges))).first()[0] or []))
-    if not bounds:
-        return rows.withColumn("_range", F.lit(0))
-    table = F.lit(bounds)
-    powers = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
-    return rows.withColumn("_range", F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.get(table, at + p - 1) <= F.col(id), at + p).otherwise(at)))
-
-
-def with_next(rows: DataFrame, id: str, text: str, ranges: int) -> DataFrame:
-    """Rows of ``id`` and ``text`` with ``_range``, ``_no`` (their order within it), ``_text`` and ``_next``, the next one's text.
-
-    Goes by ascending id, then by text; after the last comes the first. Each range ends with a copy of the first rows of
-    the next one, which has ``_no`` but a null ``_next``. Rows without an id are left out.
-    """
-    placed = in_ranges(rows.where(F.col(id).isNotNull()).select(id, F.coalesce(F.col(text), F.lit("")).alias("_text")), id, ranges)
-    first = [(r["_range"], r["first"]) for r in placed.groupBy("_range").agg(F.min(id).alias("first")).orderBy("_range").collect()]
-    kind = rows.schema[id].dataType.simpleString()
-    heads = rows.sparkSession.createDataFrame([(f, first[k - 1][0]) for k, (_, f) in enumerate(first)], f"_id {kind}, _before int")
-    copies = placed.join(F.broadcast(heads), F.col(id) == F.col("_id")).select(id, "_text", F.col("_before").alias("_range"), F.lit(True).alias("_copy"))
-    order = Window.partitionBy("_range").orderBy("_copy", id, "_text")
-    both = placed.withColumn("_copy", F.lit(False)).unionByName(copies)
-    numbered = both.withColumn("_no", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order))
-    return numbered.withColumn("_next", F.when(~F.col("_copy"), F.col("_next")))
+    """Eight hexadecimal digits for each sample."""
+    return F.array_join(F.transform(samples, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0"))), "")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -103,26 +100,71 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
+def with_previous(texts: DataFrame) -> DataFrame:
+    """Rows of ``id``, ``k1``, ``k2``, ``n`` with ``p1``, ``p2`` and ``pn`` of the row before, by ``id`` (null first) and ``k2``; before the first comes the last.
+
+    Only these short rows are put in order, range by range; the end of each range is handed on to the next.
+    """
+    ranges = ranges_of(texts, "id")
+    placed = texts.withColumn("_range", F.lit(0) if ranges is None else ranges).withColumn("_own", F.struct("id", "k2", "k1", "n"))
+    ends = placed.groupBy("_range").agg(F.max("_own").alias("_end"))  # a row for each range, of which there are few
+    order = Window.partitionBy(F.lit(0)).orderBy("_range")
+    last = F.last("_end").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    handed = ends.withColumn("_handed", F.coalesce(F.lag("_end").over(order), last)).drop("_end")
+    within = F.lag("_own").over(Window.partitionBy("_range").orderBy("id", "k2", "k1"))
+    found = placed.withColumn("_before", within).join(F.broadcast(handed), "_range").withColumn("_before", F.coalesce("_before", "_handed"))
+    return found.select(*texts.columns, *(F.col("_before")[c].alias(p) for c, p in (("k1", "p1"), ("k2", "p2"), ("n", "pn"))))
+
+
 def compare_with_next(docs: DataFrame, id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each text and of its edited form, with their likeness to that form and to the next text.
 
-    ``id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``. See
-    ``with_next`` for the order; repeated ids each have a row, and null texts are empty.
+    ``id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``, a row
+    for each row of ``docs``. A null text is empty. Next is the row of the next id, null first, and after the last comes
+    the first; different texts of one id follow each other in the order of their hashes, and equal rows do, so that all
+    but the last of them are followed by themselves. An empty table gives an empty one; other columns are not read.
+
+    Only ids and hashes are put in order. Texts are dealt by id and hash, and each sends as much of its beginning as the
+    one before it needs; then samples, not texts, go to the one before. Equal rows are one row until the end.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, id, text, 6 * parts)
-    other = edited(F.col("_text"), F.col("_next"))
-    forms = F.when(F.col("_next").isNull(), F.array(F.struct(F.lit(0).alias("form"), F.col("_text").alias("text")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("form"), F.col("_text").alias("text")), F.struct(F.lit(1).alias("form"), other.alias("text")))
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumns({"k1": F.coalesce(F.col("id").cast("string"), F.lit("")), "k2": F.xxhash64("text", F.col("id").isNull())})
+    short = rows.select("id", "k1", "k2", F.length("text").alias("n"), F.octet_length("text").cast("long").alias("size"))
+    met = cut(short.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.max("size").alias("size"), F.count("*").alias("m")))
+    size, most = met.agg(F.sum("size"), F.max("m")).first()
+    parts = min(MOST_PARTS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / PART_BYTES)))
+    placed = cut(with_previous(met.drop("size")))
+    whole = rows.select("k1", "k2", "text").repartition(parts, "k1", "k2")
+    if (most or 0) > 1:
+        whole = rows.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).repartition(parts, "k1", "k2")
+    whole = whole.join(placed, ["k1", "k2"])
+    heads = whole.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.substring("text", F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("head"))
+    both = whole.join(heads, ["k1", "k2"])
+    after, again = edited(F.col("text"), F.col("head")), edited(F.col("text"), F.col("text"))
+    form = lambda number, made: F.struct(F.lit(number).alias("form"), made.alias("text"))
+    forms = [form(0, F.col("text")), form(1, after)]
+    forms = F.when(F.col("m") > 1, F.array(*forms, form(2, again))).otherwise(F.array(*forms))
+    made = fingerprints(both.select("k1", "k2", F.inline(forms)), ["k1", "k2", "form"], "text", samples)
+    digest = lambda made: F.sha2(made.cast("binary"), 256)
+    own = both.select("k1", "k2", F.struct("id", "n", "m", digest(after).alias("sha1"), F.when(F.col("m") > 1, digest(again)).alias("sha2")).alias("own"), "p1", "p2")
+    to = lambda k1, k2, role: F.struct(F.col(k1).alias("k1"), F.col(k2).alias("k2"), role.alias("role"))
+    itself = to("k1", "k2", F.col("form"))
+    routes = F.when(F.col("form") == 0, F.array(itself, to("p1", "p2", F.lit(3)))).otherwise(F.array(itself))
+    sent = made.join(own, ["k1", "k2"]).select(F.when(F.col("form") == 0, F.col("own")).alias("own"), "samples", F.inline(routes))
+    role = lambda number, what: F.first(F.when(F.col("role") == number, F.col(what)), ignorenulls=True)
+    met = sent.groupBy("k1", "k2").agg(role(0, "own").alias("own"), *(role(k, "samples").alias(f"s{k}") for k in range(4)))
+    pair = lambda copy, edit, after, sha: F.struct(F.lit(copy).alias("copy"), F.col("own"), F.col("s0").alias("samples"), F.col(edit).alias("edit"), F.col(after).alias("after"), F.col("own")[sha].alias("sha"))
+    last, others = pair(0, "s1", "s3", "sha1"), pair(1, "s2", "s0", "sha2")
+    found = met.select(F.inline(F.when(F.col("own.m") > 1, F.array(last, others)).otherwise(F.array(last))))
+    found = found.withColumn("times", F.when(F.col("copy") == 0, F.lit(1).cast("long")).otherwise(F.col("own.m") - 1))
+    found = found.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / _COPIES))))
+    found = found.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_COPIES).cast("long"), F.col("times") - F.col("some") * _COPIES))))
+    return found.select(
+        F.col("own.id").alias(id),
+        F.col("own.n").cast("long").alias("n_chars"),
+        F.col("sha").alias("edited_sha256"),
+        as_text(F.col("samples")).alias("fingerprint"),
+        as_text(F.col("edit")).alias("edited_fingerprint"),
+        likeness(F.col("samples"), F.col("edit")).alias("near_edited"),
+        likeness(F.col("samples"), F.col("after")).alias("near_next"),
     )
-    texts = rows.select("_range", "_no", F.inline(forms))
-    made = fingerprints(texts, ["_range", "_no", "form"], "text", samples)
-    order = Window.partitionBy("_range").orderBy("_no", "form")
-    along = made.withColumn("e", F.lead("samples", 1).over(order)).withColumn("n", F.lead("samples", 2).over(order)).where("form = 0 and n is not null")
-    along = along.select(
-        "_range", "_no",
-        as_text(F.col("samples")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        likeness(F.col("samples"), F.col("e")).alias("near_edited"), likeness(F.col("samples"), F.col("n")).alias("near_next"),
-    )
-    base = rows.where(~F.col("_copy")).select("_range", "_no", id, F.length("_text").cast("long").alias("n_chars"), F.sha2(other.cast("binary"), 256).alias("edited_sha256"))
-    return base.join(along, ["_range", "_no"]).drop("_range", "_no")

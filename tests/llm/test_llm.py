@@ -237,6 +237,23 @@ def test_fingerprints_of_long_texts(spark):
     assert got[0].near_next < 0.05 and got[1].near_next < 0.05 and abs(got[2].near_next - 1 / 3) < 0.2
 
 
+def test_fingerprints_of_odd_rows(spark, odd):
+    """Null and repeated ids, null and empty texts, equal rows, a clashing column, an empty table and a single row."""
+    got = compare_with_next(odd).collect()
+    assert len(got) == odd.count()
+    by_id = defaultdict(list)
+    for r in got:
+        by_id[r.doc_id].append(r)
+    assert {k: len(v) for k, v in by_id.items()} == {None: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 1, 6: 1}
+    assert by_id[1][0].fingerprint == by_id[2][0].fingerprint == by_id[3][0].fingerprint and by_id[1][0].near_next == 1
+    assert sorted(r.near_next == 1 for r in by_id[4]) == [False, True] and {r.fingerprint for r in by_id[4]} == {by_id[4][0].fingerprint}
+    assert {r.edited_sha256 for r in by_id[4]} == {sha("one one"), sha("one wör")} and by_id[6][0].edited_sha256 == sha("ONE one")
+    assert by_id[None][0].edited_sha256 == sha("one two") and by_id[None][0].n_chars == 13
+    assert compare_with_next(odd.where("false")).count() == 0
+    one = compare_with_next(spark.createDataFrame([(3, "a b c d")], "doc_id long, text string")).first()
+    assert one.near_next == 1 and one.edited_sha256 == sha("a b a b"[:4] + "a b")
+
+
 def test_repeated_units(spark, odd):
     one = "The quick brown fox jumps over dogs."
     docs = spark.createDataFrame([(1, f"É one. {one} More of it here and there now."), (2, f"{one.upper()} {one} Short one."), (3, None), (4, "")], "doc_id long, text string")
