@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import attach, numbered
+
 #: Types a field can be read as.
 KINDS = ("string", "int", "bigint", "smallint", "tinyint", "float", "double", "boolean", "binary")
 
@@ -43,9 +47,25 @@ def latest_of(*times: Column) -> Column:
     return F.when(known, F.greatest(*times) if len(times) > 1 else times[0])
 
 
-def summary(value: str, digits: int = 6) -> dict[str, Column]:
-    """Mean, deviation, extremes and percentiles of a column, as aggregates by name. Percentiles are exact."""
-    share = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p98": 0.98, "p99": 0.99, "p999": 0.999}
+#: Percentiles of a summary.
+SHARES = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p98": 0.98, "p99": 0.99, "p999": 0.999}
+
+
+def summaries(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) -> DataFrame:
+    """``keys`` and mean, deviation, extremes and percentiles (exact, between two values in proportion) of a column's values that aren't null.
+
+    Values get their positions range by range, and the few that a percentile lies between are picked by position, so no
+    task holds the values of a group.
+    """
     own = {"mean": F.avg(value), "stddev": F.stddev_samp(value), "min": F.min(value), "max": F.max(value)}
-    own |= {n: F.percentile(value, F.lit(p)) for n, p in share.items()}
-    return {n: F.round(c, digits) for n, c in own.items()}
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(value))
+    whole = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in own.items()), F.count("*").alias("_n"))
+    below = {n: F.floor((F.col("_n") - 1) * p) + 1 for n, p in SHARES.items()}
+    placed = attach(numbered(rows, keys, [value], "_pos"), whole, keys, ["_n"])
+    near = [c for b in below.values() for c in (b, b + 1)]
+    at = lambda c: F.max(F.when(F.col("_pos") == c, F.col(value)))
+    picked = placed.where(F.col("_pos").isin(*near)).groupBy(*keys).agg(*(c.alias(f"{s}_{n}") for n, b in below.items() for s, c in (("_low", at(b)), ("_high", at(b + 1)))))
+    both = attach(whole, picked, keys, [c for c in picked.columns if c not in keys])
+    rest = {n: (F.col("_n") - 1) * p - (below[n] - 1) for n, p in SHARES.items()}
+    between = {n: F.col(f"_low_{n}") + rest[n] * (F.coalesce(f"_high_{n}", f"_low_{n}") - F.col(f"_low_{n}")) for n in SHARES}
+    return both.select(*keys, *(F.round(n, digits).alias(n) for n in own), *(F.round(c, digits).alias(n) for n, c in between.items()))

@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: About so many rows of a key are put in order by one task.
-RANGE_ROWS = 200_000
-
-
-def time_ranges(rows: DataFrame, by: str) -> Column | None:
-    """A range number for values of ``by``, such that ranges hold about ``RANGE_ROWS`` rows each; None where one holds all.
-
-    Nulls are in the first range.
-    """
-    ranges = math.ceil(rows.select(F.lit(1)).count() / RANGE_ROWS)
-    if ranges <= 1:
-        return None
-    share = [k / ranges for k in range(1, ranges)]
-    value = F.col(by) if rows.schema[by].dataType.typeName() in ("long", "integer", "double") else F.col(by).cast("timestamp").cast("double")
-    bounds = sorted(set(rows.agg(F.percentile_approx(value, F.lit(share), F.lit(20 * ranges))).first()[0] or []))
-    if not bounds:
-        return None
-    powers = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
-    table = F.lit(bounds)
-    return F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.get(table, at + p - 1) < value, at + p).otherwise(at))
+from .ordering import ranges_of
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, take: Sequence[str], order: Sequence[str] = (), exact: bool = True, how: str = "inner") -> DataFrame:
@@ -37,7 +17,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, t
     Of right rows with equal ``by`` the last in ``order`` counts. Null keys match each other; a right row with a null
     ``by`` is never met, and a left one meets nothing. ``how`` is inner or left. Taken columns must not be in ``left``.
 
-    A key may hold any share of the rows: these are dealt to ranges of ``by``, each range is put in order by itself,
+    ``by`` may be of any type that can be put in order. A key may hold any share of the rows: these are dealt to ranges of ``by``, each range is put in order by itself,
     and what a range ends with is handed on to the later ranges of its key.
     """
     keys, take = list(keys), list(take)
@@ -47,7 +27,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, t
     ours = left.select(*keys, F.col(by).alias("_by"), F.lit(1 if exact else 0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(taken.alias("t")).schema["t"].dataType).alias("_taken"), *(F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)))
     theirs = right.where(F.col(by).isNotNull()).select(*keys, F.col(by).alias("_by"), F.lit(0 if exact else 1).alias("_side"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"), taken.alias("_taken"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
     both = ours.unionByName(theirs)
-    ranges = time_ranges(both, "_by")
+    ranges = ranges_of(both, "_by")
     both = both.withColumn("_range", F.lit(0) if ranges is None else ranges)
     sort = [F.col("_by"), F.col("_side"), *(F.col(f"_o{i}") for i in range(len(order)))]
     here = F.last("_taken", ignorenulls=True).over(Window.partitionBy(*keys, "_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0))

@@ -10,42 +10,59 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: About so many rows of all keys together lie in a range of the order column.
 RANGE_ROWS = 200_000
 
-_NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal", "boolean")
-
+#: Ranges there are at most, so that their bounds stay a short list; beyond, ranges hold more rows each.
+MOST_RANGES = 4096
+#: Values sampled for each bound of a column that isn't a number or a time.
+_SAMPLED = 100
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """A double that never falls as the column rises: numbers and times themselves, of texts the first six bytes."""
-    kind = df.schema[column].dataType.typeName()
-    if kind.split("(")[0] in _NUMBERS:
-        return F.col(column).cast("double")
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.col(column).cast("timestamp").cast("double")
-    if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    raise ValueError(f"rows can't be ordered by {column}, a {kind}")
+_NUMBERS = ("byte", "short", "integer", "long", "float", "double", "decimal", "boolean")
+_TIMES = ("date", "timestamp", "timestamp_ntz")
+
+
+def _bounds(df: DataFrame, by: str, ranges: int | None = None) -> tuple[Column, list]:
+    """What to compare, and ascending values of it that cut the rows into about equal ranges. Numbers and times take one pass over ``df``."""
+    kind = df.schema[by].dataType.typeName().split("(")[0]
+    if kind in _NUMBERS or kind in _TIMES:
+        value = F.col(by).cast("double") if kind in _NUMBERS else F.col(by).cast("timestamp").cast("double")
+        share = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+        n, found = df.agg(F.count("*"), F.percentile_approx(value, F.lit(share), F.lit(4 * MOST_RANGES))).first()
+    else:
+        value = F.col(by)
+        n = df.count()
+        wanted = min(MOST_RANGES, ranges or math.ceil(n / RANGE_ROWS))
+        if wanted <= 1:
+            return value, []
+        some = df.select(by).where(value.isNotNull()).sample(min(1.0, _SAMPLED * wanted / n), 7)
+        found = [r[0] for r in some.orderBy(by).collect()]
+    ranges = min(MOST_RANGES, ranges or math.ceil(n / RANGE_ROWS))
+    found = found or []
+    picked = [found[min(len(found) - 1, len(found) * k // ranges)] for k in range(1, ranges)] if found else []
+    return value, list(dict.fromkeys(picked))
+
+
+def _literal(value: object) -> Column:
+    if isinstance(value, Row):
+        return F.struct(*(_literal(v).alias(n) for n, v in value.asDict().items()))
+    return F.array(*(_literal(v) for v in value)) if isinstance(value, list) else F.lit(value)
 
 
 def ranges_of(df: DataFrame, by: str) -> Column | None:
     """The number of the range a row's ``by`` lies in, from 0, or None where one range holds all rows.
 
-    Nulls are in the first range, as they come first in order; equal values share a range.
+    Any type that can be put in order will do, and it is ranged by its whole values. Nulls are in the first range, as they
+    come first in order; equal values share a range.
     """
-    ranges = math.ceil(df.select(F.lit(1)).count() / RANGE_ROWS)
-    if ranges <= 1:
-        return None
-    value = as_number(df, by)
-    share = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(df.agg(F.percentile_approx(value, F.lit(share), F.lit(20 * ranges))).first()[0] or []))
+    value, bounds = _bounds(df, by)
     if not bounds:
         return None
     powers = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
-    table = F.lit(bounds)
+    table = F.lit(bounds) if isinstance(bounds[0], (int, float, str)) else F.array(*(_literal(b).cast(df.schema[by].dataType) for b in bounds))
     return F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.get(table, at + p - 1) < value, at + p).otherwise(at))
 
 

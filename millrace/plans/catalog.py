@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import joins, merges, ordering, stateless, windows
 from ..sources import generators as made
-from ..sources.files import table
-from ..sources.sinks import for_each, format_tuple
+from ..sources.files import fresh_path, log_lines, sentences_of, table, words_of
+from ..sources.sinks import console, for_each, format_tuple, metrics
 from . import apps
 from .oracles import ORACLES
 
@@ -65,6 +67,43 @@ def src_logs(spark, sf):
     return apps.failed_logins(made.failed_logins(spark, 3000))
 
 
+@query
+def src_log_file(spark, sf):
+    """Lines of syslog files that are made from events; some are of another month, some are failed logins."""
+    n = F.col("event_id")
+    text = lambda c: c.cast("string")
+    failed = F.when(n % 5 == 0, F.lit("authentication failure")).otherwise(F.col("event_type"))
+    line = F.concat_ws(" ", F.when(n % 3 == 0, "Sep").otherwise("Aug"), text(n % 28 + 1), F.lit("10:00:00"), F.concat(F.lit("host"), text(F.col("user_id") % 7)), F.concat(F.when(n % 2 == 0, "sshd").otherwise("cron"), F.lit(":")), failed, text(n))
+    path = fresh_path(spark, "logs")
+    events(spark, sf).select(line.alias("value")).write.text(path)
+    return log_lines(spark, path).select("host", "srvc", F.array_join("msg", " ").alias("msg"))
+
+
+@query
+def src_sentences_file(spark, sf):
+    """Sentences of the words of a word file; how often each number of words and each partition occurs."""
+    path = fresh_path(spark, "words")
+    events(spark, sf).select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("value")).write.text(path)
+    made_ = sentences_of(words_of(spark, path), 3, 9, 40)
+    words = F.split("sentence", " ")
+    known = F.forall(words, lambda w: w.rlike("^w[0-9]+$"))
+    return made_.select(F.size(words).alias("words"), "partition_index", known.alias("known")).groupBy("words", "partition_index", "known").agg(F.count("*").alias("n"))
+
+
+@query
+def src_rated(spark, sf):
+    """A source of 100 rows a second for two seconds, a pause of one, then twice the rate: rows by tenth of a second."""
+    rows = made.rated(spark, [(2, 100), (1, 0), (2, 200)], key1=(F.col("id") % 10).cast("int"))
+    return rows.groupBy(F.floor(F.col("at") / 100).cast("long").alias("tenth")).agg(F.count("*").alias("n"), F.sum("key1").alias("keys"))
+
+
+@query
+def sink_metrics(spark, sf):
+    """Metrics of the events as they pass to a sink."""
+    own = {"rows": F.count("*"), "least": F.min("value"), "most": F.max("value"), "users": F.max("user_id")}
+    return metrics(events(spark, sf), f"events-{uuid.uuid4().hex}", **own)
+
+
 @query
 def sink_foreach(spark, sf):
     return for_each(events(spark, sf), lambda df: df.write.format("noop").mode("overwrite").save())
@@ -72,8 +111,11 @@ def sink_foreach(spark, sf):
 
 @query
 def sink_console(spark, sf):
+    """Every tuple as it is printed; the printing itself goes to a null device here."""
     rows = events(spark, sf).select("event_id", "user_id", "event_type")
-    return rows.select("event_id", format_tuple(rows).alias("tuple"))
+    with open(os.devnull, "w") as nowhere:
+        shown = console(rows, out=nowhere)
+    return shown.select("event_id", format_tuple(rows).alias("tuple"))
 
 
 # One row at a time
@@ -215,8 +257,7 @@ def global_count(spark, sf):
 
 @query
 def latency_summary(spark, sf):
-    own = fn.summary("value", 4)
-    return events(spark, sf).groupBy("event_type").agg(*(c.alias(n) for n, c in own.items()))
+    return fn.summaries(events(spark, sf), ["event_type"], "value", 4)
 
 
 # Several inputs
@@ -357,8 +398,11 @@ def varying_selectivity(spark, sf):
 
 @query
 def dynamic_rate(spark, sf):
-    """The chain of a rated source, over a bounded part of it."""
-    return apps.chain(made.keyed_values(spark, 100, 5, 10), (["key1"], 2))
+    """The chain of a source whose rate doubles."""
+    n = F.col("id")
+    key, value = (n % 100).cast("int"), (n % 5).cast("int")
+    rows = made.rated(spark, [(2, 200), (1, 400), (1, 200)], seq=n, key1=key, key2=key, val1=value, val2=value)
+    return apps.chain(rows.drop("at"), (["key1"], 2))
 
 
 @query
@@ -377,7 +421,7 @@ def numbered(spark, sf):
 def _stream(spark: SparkSession, sf: str, kind: str | None = None) -> DataFrame:
     from ..streaming import as_stream
 
-    return as_stream(spark, events(spark, sf, kind), "event_id")
+    return as_stream(spark, events(spark, sf, kind), "event_id", U)
 
 
 def _streamed(df: DataFrame) -> DataFrame:
@@ -416,16 +460,11 @@ def stream_asof(spark, sf):
     return _streamed(made_(ours, theirs.withColumnRenamed("value", "price"), U, "ts", "price", "value"))
 
 
-def all_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of every window of the table, those that the watermark has not passed too."""
+@query
+def stream_windowed_counts(spark, sf):
+    """Every window of the table, those that the watermark has not passed too. No row is more than the table's days late."""
     from ..streaming import run_latest, windowed_counts
 
     rows = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    found = run_latest(windowed_counts(rows, "ts", "1 day", "2 days", ["event_type"]), ["start", "event_type"])
+    found = run_latest(windowed_counts(rows, "ts", "1 day", "31 days", ["event_type"]), ["start", "event_type"])
     return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-@query
-def stream_windowed_counts(spark, sf):
-    """Up to the date at which its SQL ends."""
-    return all_windowed_counts(spark, sf).where("start < timestamp_ntz'2024-01-25'")

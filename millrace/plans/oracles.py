@@ -66,6 +66,10 @@ ORACLES: dict[str, str] = {
     "src_quotes": f"SELECT {_ticker('i')} AS tickersymbol, CAST({_scattered('i', 190, 991)} + 10 AS DOUBLE) AS askptickersymbolprice, 1 AS asksize, CAST(i // 10 AS BIGINT) AS timestamp, i AS seq FROM range(5000) t(i)",
     "src_sentences": f"SELECT sentence, partition_index FROM ({_SENTENCES})",
     "src_logs": _LOGINS,
+    "src_log_file": "SELECT 'host' || (user_id % 7) AS host, CASE WHEN event_id % 2 = 0 THEN 'sshd:' ELSE 'cron:' END AS srvc, CASE WHEN event_id % 5 = 0 THEN 'authentication failure' ELSE event_type END || ' ' || event_id AS msg FROM events WHERE event_id % 3 <> 0 AND (event_id % 5 <> 0 OR event_id % 2 <> 0)",
+    "src_sentences_file": "SELECT CAST(3 + id // 40 AS INTEGER) AS words, CAST(id % 16 AS INTEGER) AS partition_index, true AS known, count(*) AS n FROM range(280) t(id) GROUP BY ALL",
+    "src_rated": "SELECT CAST(CASE WHEN id < 200 THEN id * 10 ELSE 3000 + (id - 200) * 5 END // 100 AS BIGINT) AS tenth, count(*) AS n, CAST(sum(id % 10) AS BIGINT) AS keys FROM range(600) t(id) GROUP BY ALL",
+    "sink_metrics": "SELECT unnest(['rows', 'least', 'most', 'users']) AS metric, unnest([count(*)::DOUBLE, min(value), max(value), max(user_id)::DOUBLE]) AS value FROM events",
     "sink_foreach": _E,
     "sink_console": "SELECT event_id, 'Tuple({event_id=' || event_id || '},{event_type=' || event_type || '},{user_id=' || user_id || '})' AS tuple FROM events",
     "map": "SELECT event_id, value * 2 AS v2, upper(event_type) AS kind FROM events",
@@ -123,5 +127,5 @@ ORACLES: dict[str, str] = {
     "stream_ema": _ema("PARTITION BY user_id ", "event_id, user_id"),
     "stream_running": f"SELECT event_id, user_id, count(*) OVER {_ORDER} AS n, round(sum(value) OVER {_ORDER}, 4) AS total FROM events",
     "stream_asof": "SELECT v.user_id, v.ts, v.value, p.value AS price FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON v.user_id = p.user_id AND v.ts >= p.ts",
-    "stream_windowed_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY ALL",
+    "stream_windowed_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

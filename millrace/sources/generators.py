@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 #: Constants of the linear congruence that scatters row numbers.
 _STEP, _ADD, _MOD = 48_271, 12_345, 2_147_483_647
@@ -39,6 +43,37 @@ def keyed_stream(spark: SparkSession, key_range: int, value_range: int, rows_per
     return beacon_stream(spark, rows_per_second, ramp_up, seq=n, key1=key, key2=key, val1=value, val2=value)
 
 
+def rated(spark: SparkSession, phases: Sequence[tuple[float, int]], partitions: int | None = None, **outputs: Column) -> DataFrame:
+    """Rows of a source whose rate changes: the named expressions over ``id`` (0, 1, ...) and ``at``, the millisecond from the start in which a row comes.
+
+    ``phases`` has the seconds that each rate lasts and the rows a second; a rate of 0 is a pause.
+    """
+    begins, ends, rows, start = [], [], 0, 0.0
+    for seconds, rate in phases:
+        begins.append((start, rows, rate))
+        start, rows = start + seconds, rows + round(seconds * rate)
+        ends.append(rows)
+    at = F.lit(None).cast("long")
+    for (began, before, rate), end in reversed(list(zip(begins, ends, strict=True))):
+        if rate:
+            at = F.when(F.col("id") < end, F.floor(began * 1000 + (F.col("id") - before) * 1000 / rate)).otherwise(at)
+    return spark.range(0, rows, 1, partitions or spark.sparkContext.defaultParallelism).select(at.cast("long").alias("at"), *(c.alias(n) for n, c in outputs.items()))
+
+
+def run_rated(spark: SparkSession, phases: Sequence[tuple[float, int]], start: Callable[[DataFrame], StreamingQuery], **outputs: Column) -> None:
+    """Run a stream whose rate changes: for each phase ``start`` begins a query on a source of that rate, which is stopped when the phase is over.
+
+    ``value`` counts from 0 in each phase.
+    """
+    for seconds, rate in phases:
+        if not rate:
+            time.sleep(seconds)
+            continue
+        query = start(beacon_stream(spark, rate, **outputs))
+        query.awaitTermination(seconds)
+        query.stop()
+
+
 def ticker(n: Column, tickers: int) -> Column:
     """One of ``tickers`` names of three capital letters, by scattered number."""
     k = scattered(n, tickers)

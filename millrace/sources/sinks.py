@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
+from .files import cut
 
-def for_each(df: DataFrame, effect: Callable[[DataFrame], None], checkpoint: str | None = None) -> DataFrame:
+
+def for_each(df: DataFrame, effect: Callable[[DataFrame], None]) -> DataFrame:
     """Run ``effect`` on the rows and return the same rows.
 
-    In a batch the effect runs at once, on all rows. In a stream it runs on each micro-batch, with ``start_for_each``.
+    In a batch the rows are computed once and written to the shared folder; the effect runs at once, on all of them. On a
+    stream it runs on each micro-batch, with ``start_for_each``.
     """
     if df.isStreaming:
         raise ValueError("use start_for_each on a stream")
-    effect(df)
-    return df
+    kept = cut(df)
+    effect(kept)
+    return kept
 
 
 def start_for_each(df: DataFrame, effect: Callable[[DataFrame, int], None], checkpoint: str, **trigger: object) -> StreamingQuery:
@@ -25,8 +32,10 @@ def start_for_each(df: DataFrame, effect: Callable[[DataFrame, int], None], chec
     return df.writeStream.foreachBatch(effect).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def watched(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
-    """The same rows, and aggregates over them that are there once an action has run."""
+def watched(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation | None]:
+    """The same rows, and aggregates over them that are there once an action has run; those of a stream's micro-batches go to a ``MetricsLog``."""
+    if df.isStreaming:
+        return df.observe(name, *(c.alias(n) for n, c in metrics.items())), None
     seen = Observation(name)
     return df.observe(seen, *(c.alias(n) for n, c in metrics.items())), seen
 
@@ -38,7 +47,36 @@ def format_tuple(df: DataFrame, fields: list[str] | None = None) -> Column:
     return F.concat(F.lit("Tuple("), F.array_join(F.array_compact(F.array(*each)), ","), F.lit(")"))
 
 
-def console(df: DataFrame, rows: int = 20, text: Column | None = None) -> DataFrame:
-    """Print the first ``rows`` rows as text, and return all rows."""
-    df.select((format_tuple(df) if text is None else text).alias("tuple")).show(rows, truncate=False)
-    return df
+def console(df: DataFrame, text: Column | None = None, out: TextIO | None = None) -> DataFrame:
+    """Print every row as text, and return the rows. The driver holds one partition of rows at a time."""
+    kept = cut(df)
+    for row in kept.select((format_tuple(df) if text is None else text).alias("tuple")).toLocalIterator():
+        print(row["tuple"], file=out or sys.stdout)
+    return kept
+
+
+class MetricsLog(StreamingQueryListener):
+    """Hands the metrics that ``df.observe`` gathers in each micro-batch of a stream to ``sink``: name, batch and values by name.
+
+    Add it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self, sink: Callable[[str, int, dict], None]) -> None:
+        self.sink = sink
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:
+        pass
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.sink(name, event.progress.batchId, row.asDict())
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:
+        pass
+
+
+def metrics(df: DataFrame, name: str, **aggregates: Column) -> DataFrame:
+    """``metric`` and ``value`` (a double) of aggregates gathered while the rows of ``df`` pass to a sink."""
+    rows, seen = watched(df, name, **aggregates)
+    rows.write.format("noop").mode("overwrite").save()
+    return df.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in seen.get.items()], "metric string, value double")

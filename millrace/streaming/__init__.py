@@ -143,14 +143,23 @@ def run_latest(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*(F.col("last")[c].alias(c) if c in rest else c for c in stream.columns))
 
 
-def as_stream(spark: SparkSession, df: DataFrame, by: str, files: int = 3) -> DataFrame:
-    """The rows of ``df`` as a stream of ``files`` micro-batches in ascending ``by``."""
+def as_stream(spark: SparkSession, df: DataFrame, by: str, keys: Sequence[str] = (), slices: int = 3, files: int | None = None) -> DataFrame:
+    """The rows of ``df`` as a stream in ascending ``by`` (a whole number; null first): ``slices`` of them, one written after the other.
+
+    A slice is written by ``files`` tasks (as many as there are shuffle partitions by default), each with the rows of its
+    own ``keys``, and a micro-batch takes so many files, oldest first. So the rows of a key come in order of slices,
+    whichever files share a micro-batch.
+    """
     path = fresh_path(spark, "source")
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     low, high = df.agg(F.min(by), F.max(by)).first()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // files))
-    for k in range(files):
-        df.where(F.col(by).between((low or 0) + k * step, (low or 0) + (k + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    low = low or 0
+    step = max(1, -(-((high or 0) - low + 1) // slices))
+    own = F.coalesce(F.floor((F.col(by) - low) / step), F.lit(0))
+    for k in range(slices):
+        part = df.where(own == k)
+        (part.repartition(files, *keys) if keys else part.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def windowed_counts(stream: DataFrame, time: str, width: str, late: str, keys: Sequence[str] = ()) -> DataFrame:

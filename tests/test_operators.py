@@ -18,7 +18,6 @@ def rows(df, *columns):
 @pytest.fixture
 def small_ranges(monkeypatch):
     monkeypatch.setattr(ordering, "RANGE_ROWS", 20)
-    monkeypatch.setattr(joins, "RANGE_ROWS", 20)
     monkeypatch.setattr(windows, "BLOCK_ROWS", 16)
 
 
@@ -176,8 +175,74 @@ def test_windows_at_the_end_of_input(spark):
     """A stream's counts by window are whole, also of windows that the watermark has not passed."""
     from collections import Counter
 
-    from millrace.plans.catalog import all_windowed_counts
+    from millrace.plans.catalog import QUERIES
 
     sf = "/root/testdata/sf0.001"
     want = Counter((r.ts.date(), r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect())
-    assert {(r.start.date(), r.event_type): r.n for r in all_windowed_counts(spark, sf).collect()} == want
+    assert {(r.start.date(), r.event_type): r.n for r in QUERIES["stream_windowed_counts"](spark, sf).collect()} == want
+
+
+def test_asof_by_text(spark, small_ranges):
+    """Texts with a common beginning are ranged by their whole values, above the size of a range as below it."""
+    rows = spark.range(400)
+    name = F.concat(F.lit("https://example.org/a/common/beginning/"), F.lpad(F.col("id").cast("string"), 6, "0"))
+    left = rows.select((F.col("id") % 3).alias("k"), name.alias("at"), "id")
+    right = rows.where("id % 5 = 0").select((F.col("id") % 3).alias("k"), name.alias("at"), F.col("id").alias("met"))
+    got = {r.id: r.met for r in joins.asof_join(left, right, ["k"], "at", ["met"], how="left").collect()}
+    assert got == {i: max((m for m in range(0, i + 1, 5) if m % 3 == i % 3), default=None) for i in range(400)}
+    ranges = left.select(ordering.ranges_of(left, "at").alias("r")).groupBy("r").count().collect()
+    assert len(ranges) > 5 and max(r["count"] for r in ranges) < 200
+
+
+def test_order_by_other_types(spark, small_ranges):
+    rows = spark.range(200).select("id", F.col("id").cast("string").cast("binary").alias("b"), F.struct((F.col("id") % 2).alias("x"), "id").alias("s"), F.when(F.col("id") > 3, F.col("id").cast("decimal(10,2)")).alias("d"))
+    for by, key in (("b", lambda i: str(i).encode()), ("s", lambda i: (i % 2, i)), ("d", lambda i: i if i > 3 else -1)):
+        got = {r.id: r.pos for r in ordering.numbered(rows, [], [by, "id"]).collect()}
+        assert got == {i: k + 1 for k, i in enumerate(sorted(range(200), key=lambda i: (key(i), i)))}
+
+
+def test_console_and_metrics(spark):
+    import io
+    import time
+
+    from millrace.sources import sinks
+
+    out = io.StringIO()
+    shown = sinks.console(spark.range(50).select("id", F.lit(None).cast("string").alias("x")), out=out)
+    assert sorted(out.getvalue().split()) == sorted(f"Tuple({{id={i}}})" for i in range(50)) and shown.count() == 50
+    seen = []
+    log = sinks.MetricsLog(lambda name, batch, values: seen.append((name, values["n"])))
+    spark.streams.addListener(log)
+    rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 7).load()
+    rows, _ = sinks.watched(rate, "passed", n=F.count("*"))
+    query = rows.writeStream.format("noop").start()
+    for _ in range(100):
+        if seen:
+            break
+        time.sleep(0.2)
+    query.stop()
+    spark.streams.removeListener(log)
+    assert seen and seen[0] == ("passed", 7)
+
+
+def test_rated_streams(spark):
+    from millrace.sources import generators
+
+    counts = []
+
+    def start(df):
+        return df.writeStream.foreachBatch(lambda rows, _: counts.append((len(phases), rows.count()))).start()
+
+    phases = []
+    for rate in (5, 10):
+        phases.append(rate)
+        generators.run_rated(spark, [(3, rate)], start, n=F.col("value"))
+    assert sum(n for p, n in counts if p == 1) > 0 and sum(n for p, n in counts if p == 2) > 0
+
+
+def test_summaries_of_nulls(spark):
+    from millrace.functions import summaries
+
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", 5.0), (None, 3.0), ("c", None)], "k string, v double")
+    got = {r.k: (r.median, r.p75, r.most if "most" in r else r.max) for r in summaries(rows, ["k"], "v").collect()}
+    assert got == {"a": (1.5, 1.75, 2.0), "b": (5.0, 5.0, 5.0), None: (3.0, 3.0, 3.0)}
