@@ -1,8 +1,8 @@
 """Chat formatting: typed content parts, an escaping template, and a loss mask.
 
 A message's content is an array of parts (``PART``). A visitor turns each into
-text: text parts are escaped, others become a placeholder in their order, with
-an attachment record. Everything is DataFrame expressions.
+text: text parts are escaped character by character, others become a placeholder
+in their order, with an attachment record. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -26,20 +26,23 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), null.cast("string").alias("uri"), null.cast("int").alias("width"), null.cast("int").alias("height"), null.cast("double").alias("seconds"), null.cast("int").alias("pages")))
 
 
-def escape(text: Column) -> Column:
-    """No mark of the template is left in the result, and ``unescape`` brings the text back."""
-    x = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    x = F.regexp_replace(x, "#(?=##)", r"#\\")  # every three of a longer run
-    for mark, instead in (("</turn>", "<\\/turn>"), ("<|", "<\\|")):
-        x = F.replace(x, F.lit(mark), F.lit(instead))
-    return x
+#: Characters that marks are made of, and what stands for them in texts and in roles. No replacement holds one of them
+#: but the escape character itself, so that no mark can form inside a text, across parts or at their ends.
+_TEXT = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
+_ROLE = (("%", "%25"), (":", "%3A"), ("#", "%23"), ("<", "%3C"))
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def escape(text: Column) -> Column:
+    """A text without ``#`` and ``<``, in which every backslash begins a replacement; ``unescape`` brings the text back."""
+    for mark, instead in _TEXT:
+        text = F.replace(text, F.lit(mark), F.lit(instead))
+    return text
 
 
-_ROLE = (("%", "%25"), (":", "%3A"), ("<", "%3C"))
+def unescape(text: Column) -> Column:
+    for mark, instead in reversed(_TEXT):
+        text = F.replace(text, F.lit(instead), F.lit(mark))
+    return text
 
 
 def _role(role: Column) -> Column:
