@@ -23,8 +23,10 @@ from .words import Words, _INVERSE, _power, longs, mix, pieces, split_bytes, tex
 
 #: Labelled documents that word scores are learned from, and that segment statistics are calibrated on, at most.
 FIT_DOCS, CALIBRATE_DOCS = 24_000, 8_000
-#: A word or beginning counts if so many labelled documents hold it. With the bounds above this bounds the model.
+#: A word or beginning counts if so many labelled documents hold it.
 MIN_DOCS = 3
+#: Words and beginnings that the model has at most: 36 bytes of each go to the driver and 16 to every executor.
+MODEL_TERMS = 1_000_000
 #: Bytes of the beginnings that pass their estimate on.
 STEMS = (4, 6, 8)
 #: Weight of a prior in documents; standard errors taken off a positive score; what each word costs a segment.
@@ -59,19 +61,43 @@ def segments(score: np.ndarray, cost: float) -> list[tuple[float, int, int]]:
     if not len(at):
         return []
     total = np.concatenate([[0.0], np.cumsum(score - cost)])
-    kept: list[tuple[float, float, int, int]] = []  # total before, total after, first, last
+    kept: list[tuple[float, float, int, int, int]] = []  # total before, total after, first, last, nearest earlier one with less before it
     for first, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist(), strict=True):
-        last = first
+        last, j = first, len(kept) - 1
         while True:
-            j = len(kept) - 1
             while j >= 0 and kept[j][0] >= before:
-                j -= 1
+                j = kept[j][4]  # those between have no less before them, and are passed over for good
             if j < 0 or kept[j][1] >= after:
-                kept.append((before, after, first, last))
+                kept.append((before, after, first, last, j))
                 break
-            before, first = kept[j][0], kept[j][2]  # joined with the segments from j on
+            before, _, first, _, above = kept[j]  # joined with the segments from j on
             del kept[j:]
-    return [(b - a, f, e) for a, b, f, e in kept]
+            j = above
+    return [(after - before, first, last) for before, after, first, last, _ in kept]
+
+
+@dataclass
+class Found:
+    """All segments of a batch's documents, one after the other; ``to`` has where each document's end, after a 0."""
+
+    score: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    to: np.ndarray
+
+    @classmethod
+    def of(cls, words: Words, scores: np.ndarray) -> Found:
+        each = [segments(scores[a:b], DRIFT) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+        flat = np.array([x for own in each for x in own], float).reshape(-1, 3)
+        return cls(flat[:, 0], flat[:, 1].astype(np.int32), flat[:, 2].astype(np.int32), np.cumsum([0, *map(len, each)]))
+
+    def per_doc(self, values: np.ndarray, join: np.ufunc, none: float) -> np.ndarray:
+        """``values`` of the segments joined by document, ``none`` for one without segments."""
+        some = np.diff(self.to) > 0
+        out = np.full(len(some), none)
+        if some.any():
+            out[some] = join.reduceat(values, self.to[:-1][some])
+        return out
 
 
 @dataclass
@@ -97,32 +123,40 @@ class Model:
                 open_[where[known]] = False
         return found
 
-    def excess(self, n_words: int, found: list[tuple[float, int, int]]) -> np.ndarray:
+    def excess(self, n_words: np.ndarray, found: Found) -> np.ndarray:
         """What each segment's normalised score has beyond that expected of the best one by chance; -ln of its expected count."""
-        return self.rate * np.array([s for s, _, _ in found]) - self.ln_k - np.log(max(n_words, 1))
+        return self.rate * found.score - self.ln_k - np.log(np.maximum(np.repeat(n_words, np.diff(found.to)), 1))
+
+    def evidence(self, n_words: np.ndarray, found: Found) -> np.ndarray:
+        """Joint statistic of each document's segments: what all those beyond chance have in excess, on a root scale."""
+        excess = self.excess(n_words, found)
+        most = np.tanh(found.per_doc(excess, np.maximum, np.nan) / 4)
+        return np.sqrt(found.per_doc(np.maximum(excess, 0), np.add, 0.0)) + np.where(np.isnan(most), -1.0, most)
 
     def probability(self, statistic: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * statistic + self.offset)))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, part: Column, bound: int) -> DataFrame:
-    """Texts and labels of at most ``bound`` labelled ids, those of the smallest hashes."""
+    """Texts and labels of at most ``bound`` labelled ids, those of the smallest hashes. Of rows that repeat an id one counts."""
     own = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & part).groupBy(id).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     chosen = own.orderBy(F.xxhash64(F.col(id).cast("string")), id).limit(bound)
-    return docs.select(id, F.col(text).alias("text")).join(F.broadcast(chosen), id).select("text", "toxic")
+    return docs.select(id, F.col(text).alias("text")).join(F.broadcast(chosen), id).groupBy(id).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", use: Column | None = None) -> Model:
     """Learn from documents whose id is among ``labels`` and meets ``use``.
 
     Four fifths of the ids (by hash) teach word scores, the others the calibration; at most ``FIT_DOCS`` and
-    ``CALIBRATE_DOCS`` of them. Of repeated labels of an id the largest counts. Without labels of both kinds the model
+    ``CALIBRATE_DOCS`` of them, and at most ``MODEL_TERMS`` words and beginnings of words, those in the most documents. Of
+    repeated labels of an id the largest counts, of repeated documents the one of the smallest text. Without labels of both kinds the model
     gives every document a score next to 0.
     """
     use = F.lit(True) if use is None else use
     turn = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit(5)), F.lit(5))
     counted = _counts(_labelled(docs, labels, id, text, label, use & (turn != 0), FIT_DOCS))
-    found = counted.toArrow()
+    most = counted.orderBy(F.col("level") >= 0, -(F.col("toxic") + F.col("clean")), "level", "key").limit(MODEL_TERMS)
+    found = most.toArrow()
     rows = {c: found.column(c).to_numpy() for c in found.column_names}
     del found
     total = rows["level"] < 0
@@ -189,34 +223,35 @@ def _calibrate(model: Model, texts_: DataFrame) -> None:
     """Set the extreme-value law from clean documents' words and best segments, and the curve from all."""
     edges = np.linspace(-4, 12, 321)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             words, levels = features(batch.column(0))
-            score = model.word_scores(levels)
-            toxic = batch.column(1).to_pylist()
-            histogram, found = np.zeros(len(edges) + 1, np.int64), []
-            for k in range(words.n_docs):
-                own = score[words.first[k] : words.first[k + 1]]
-                if not toxic[k]:
-                    histogram += np.bincount(np.digitize(own, edges), minlength=len(histogram))
-                found.append(sorted((s for s, _, _ in segments(own, DRIFT)), reverse=True)[:50])
-            rows = [{"toxic": t, "n": int(n), "found": f, "histogram": []} for t, n, f in zip(toxic, words.counts(), found, strict=True)]
-            rows.append({"toxic": -1, "n": 0, "found": [], "histogram": histogram.tolist()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64())), ("histogram", pa.list_(pa.int64()))]))
-
-    table = texts_.mapInArrow(run, "toxic int, n bigint, found array<double>, histogram array<bigint>").toArrow()
-    toxic, n = table.column("toxic").to_numpy(), table.column("n").to_numpy()
+            score, clean = model.word_scores(levels), np.array(batch.column(1).to_pylist()) == 0
+            best = Found.of(words, score)
+            histogram = np.bincount(np.digitize(score[clean[words.doc]], edges), minlength=len(edges) + 1)
+            rows = [{"toxic": int(not c), "n": int(n), "best": None if np.isnan(b) else float(b)} for c, n, b in zip(clean, words.counts(), best.per_doc(best.score, np.maximum, np.nan), strict=True)]
+            rows.append({"toxic": -1, "n": 0, "best": None, "histogram": histogram.tolist()})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("histogram", pa.list_(pa.int64()))]))
+
+    table = texts_.mapInArrow(measure, "toxic int, n bigint, best double, histogram array<bigint>").toArrow()
+    toxic, n, best = (table.column(c).to_numpy() for c in ("toxic", "n", "best"))
     histogram = sum((np.array(h.as_py()) for h, t in zip(table.column("histogram"), toxic, strict=True) if t < 0), np.zeros(len(edges) + 1, np.int64))
-    found = [np.array(f.as_py(), float) for f in table.column("found")]
-    if len(set(toxic[toxic >= 0] > 0)) < 2:
+    if len(set(toxic[toxic >= 0])) < 2:
         model.slope, model.offset = 1.0, -4.0
         return
     middle = np.concatenate([[edges[0]], (edges[1:] + edges[:-1]) / 2, [edges[-1]]]) - DRIFT
     model.rate = _rate(middle, histogram)
-    best = [model.rate * f[0] - np.log(max(m, 1)) for t, m, f in zip(toxic, n, found, strict=True) if t == 0 and len(f)]
-    model.ln_k = float(np.mean(best) - np.euler_gamma) if best else 0.0
-    statistic = np.array([evidence(model.excess(int(m), [(s, 0, 0) for s in f])) for t, m, f in zip(toxic, n, found, strict=True) if t >= 0])
-    model.slope, model.offset = _curve(statistic, toxic[toxic >= 0] > 0)
+    chance = (toxic == 0) & ~np.isnan(best)
+    model.ln_k = float(np.mean(model.rate * best[chance] - np.log(np.maximum(n[chance], 1))) - np.euler_gamma) if chance.any() else 0.0
+
+    def statistic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            words, levels = features(batch.column(0))
+            x = model.evidence(words.counts(), Found.of(words, model.word_scores(levels)))
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(1), "x": pa.array(x)})
+
+    table = texts_.mapInArrow(statistic, "toxic int, x double").toArrow()
+    model.slope, model.offset = _curve(table.column("x").to_numpy(), table.column("toxic").to_numpy() > 0)
 
 
 def _rate(score: np.ndarray, count: np.ndarray) -> float:
@@ -231,11 +266,6 @@ def _rate(score: np.ndarray, count: np.ndarray) -> float:
     return float(np.clip(low, 0.05, 10))
 
 
-def evidence(excess: np.ndarray) -> float:
-    """Joint statistic of a document's segments: what all those beyond chance have in excess, on a root scale."""
-    return float(np.sqrt(np.maximum(excess, 0).sum())) + float(np.tanh(excess.max() / 4) if len(excess) else -1)
-
-
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic regression on one variable by Newton steps, with a weak pull to 0."""
     w = np.zeros(2)
@@ -271,16 +301,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         arrow, model = to_arrow_schema(schema), shared.value
         for batch in pieces(batches, text):
             words, levels = features(batch.column(batch.schema.get_field_index(text)))
-            scores = model.word_scores(levels)
-            result = []
-            for k in range(words.n_docs):
-                own = scores[words.first[k] : words.first[k + 1]]
-                found = segments(own, DRIFT)
-                excess = model.excess(len(own), found)
-                passages = [{"first": f, "last": e, "score": s, "expected": float(np.exp(-x))} for (s, f, e), x in zip(found, excess, strict=True) if x > -np.log(expected)]
-                result.append({"score": float(model.probability(evidence(excess))), "passages": passages})
+            found, counts = Found.of(words, model.word_scores(levels)), words.counts()
+            excess = model.excess(counts, found)
+            shown = excess > -np.log(expected)
+            fields = {"first": found.first[shown], "last": found.last[shown], "score": found.score[shown], "expected": np.exp(-excess[shown])}
+            ends = np.concatenate([[0], np.cumsum(shown)])[found.to]
+            passages = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
+            score_ = pa.array(model.probability(model.evidence(counts, found)))
             columns = {n: batch.column(batch.schema.get_field_index(n)) for n in keep}
-            columns[out] = pa.array(result, type=arrow.field(out).type)
+            columns[out] = pa.StructArray.from_arrays([score_, passages], ["score", "passages"])
             yield pa.RecordBatch.from_arrays([columns[n].cast(arrow.field(n).type) for n in arrow.names], schema=arrow)
 
     return frame.mapInArrow(run, schema)
