@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Features of a candidate are its length, transitions between character classes,
-coverage by dictionary words, path shape, and words around it. The forest is
-trained on labelled findings. All of it is DataFrame expressions and the
-DataFrame API of the machine learning library.
+Features of a candidate are its length, transitions between characters, coverage
+by dictionary words, path shape, and words around it. The forest is trained on
+labelled findings, which come from texts by the same pattern as those to be
+judged. All of it is DataFrame expressions and the DataFrame API of the machine
+learning library.
 """
 
 from __future__ import annotations
@@ -18,12 +19,22 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
-_CHARS = r"A-Za-z0-9+/_=.@\-"
-#: A maximal run of so many such characters, at least one a digit.
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z+/_=.@\-]*+[0-9])[{_CHARS}]{{12,}}+"
+#: Words near a candidate that speak for a secret, and against.
+FOR_WORDS = "key|token|secret|passw|passwd|pwd|auth|bearer|credential|private|signature|session|cookie|api"
+AGAINST_WORDS = "example|sample|dummy|placeholder|test|commit|sha1|sha256|md5|checksum|digest|revision|uuid|guid|isbn|card|phone|mail|version|build|order|invoice"
+
+_CHARS = r"A-Za-z0-9+/_.@\-"
+_OPEN = r"""[^\s"'<>,;(){}\[\]]"""
+#: What assigns a value to a name that speaks for a secret: the rest of the name, a sign, a quotation mark.
+ASSIGNED = rf"""(?i:(?:{FOR_WORDS})[A-Za-z_ \-]{{0,12}}+["']?[ \t]{{0,3}}+[=:][ \t]{{0,3}}+(?:Bearer )?["']?)"""
+#: A value of 8 characters or more that is assigned so, with its name; elsewhere a maximal run of 12 or more characters
+#: with a digit, and signs of equality only as padding at its end.
+CANDIDATE = rf"{ASSIGNED}{_OPEN}{{8,}}(?<![.!?:])|(?<![{_CHARS}])(?=[A-Za-z+/_.@\-]*+[0-9])[{_CHARS}]{{12,}}+(?:={{1,2}}(?![{_CHARS}=]))?"
 #: Characters before and behind a candidate that are looked at.
 BEFORE, AFTER = 48, 16
 REDACTED = "[secret]"
+#: Candidates of a text whose lengths are added up one by one; blocks of them are added up before.
+_BLOCK = 64
 
 #: Words that identifiers and paths are made of.
 DICTIONARY = """
@@ -45,11 +56,10 @@ text theme thread time title tool topic track train trans true type under unit u
 video view visit volume warning web week weight window word work world year zone
 """.split()
 
-#: Words near a candidate that speak for a secret, and against.
-FOR_WORDS = "key|token|secret|passw|passwd|pwd|auth|bearer|credential|private|signature|session|cookie|api"
-AGAINST_WORDS = "example|sample|dummy|placeholder|test|commit|sha1|sha256|md5|checksum|digest|revision|uuid|guid|isbn|card|phone|mail|version|build|order|invoice"
+#: Pairs of letters that are frequent in words, and rare in keys.
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 
-FEATURES = ["length", "transitions", "distinct", "digits", "uppers", "symbols", "hex", "dictionary", "slashes", "dots", "at", "extension", "assigned", "quoted", "for_words", "against_words", "against_inside"]
+FEATURES = ["length", "transitions", "pairs", "letters", "distinct", "digits", "uppers", "symbols", "hex", "dictionary", "slashes", "dots", "at", "extension", "assigned", "quoted", "for_words", "against_words", "against_inside"]
 
 
 def features(token: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -65,6 +75,8 @@ def features(token: Column, before: Column, after: Column) -> dict[str, Column]:
     return {
         "length": n.cast("double"),
         "transitions": (F.length(F.regexp_replace(kinds, r"(.)\1*+", "x")) - 1) / n,
+        "pairs": F.regexp_count(low, F.lit(f"(?=(?:{'|'.join(PAIRS)}))")) / n,
+        "letters": without("[A-Za-z]") / n,
         "distinct": F.size(F.array_distinct(F.split(token, ""))) / n,
         "digits": without("[0-9]") / n,
         "uppers": without("[A-Z]") / n,
@@ -83,37 +95,56 @@ def features(token: Column, before: Column, after: Column) -> dict[str, Column]:
     }
 
 
+def _found(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` columns of rows with candidates, ``_found`` (each with the name it is assigned to) and ``_between``, the texts around them."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found"), F.split(text, CANDIDATE).alias("_between"))
+    return docs.select(*keep, F.inline(F.array(both))).where(F.size("_found") > 0)
+
+
+def _name(found: Column) -> Column:
+    return F.regexp_extract(found, f"^{ASSIGNED}", 0)
+
+
 def candidates(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, ``no`` (from 0 in each row), ``token``, ``before`` and ``after`` of every candidate of every text."""
-    found = docs.select(*keep, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_found"), F.split(text, CANDIDATE).alias("_between")).where(F.size("_found") > 0)
-    each = F.transform(
-        "_found",
-        lambda t, i: F.struct(
-            i.alias("no"),
-            t.alias("token"),
-            F.length(F.get("_between", i)).alias("gap"),
-            F.right(F.get("_between", i), F.lit(BEFORE)).alias("before"),
-            F.left(F.get("_between", i + 1), F.lit(AFTER)).alias("after"),
-        ),
-    )
-    return found.select(*keep, F.inline(each))
-
-
-def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 11) -> DataFrame:
-    """``n`` made-up findings ``before``, ``token``, ``after``, ``label`` (1: a secret), the same on every call.
-
-    Half are secrets: hex, base64 and prefixed keys and passwords that stand where such things are assigned. The others
-    look alike at first sight: digests, numbers, ids, mail addresses, paths, links, versions, names and placeholders.
+    """``keep`` columns, ``no`` (from 0 in each row), ``start`` (code points from 0), ``token``, ``before`` and ``after`` of every candidate of every text."""
+    lengths = F.zip_with("_found", F.slice("_between", F.lit(1), F.size("_found")), lambda f, b: (F.length(f) + F.length(b)).cast("long"))
+    zero = F.lit(0).cast("long")
+    add = lambda x: F.aggregate(x, zero, lambda n, k: n + k)
+    rows = _found(docs, keep, text).select(*keep, "_found", "_between", F.explode(F.array(lengths)).alias("_lengths"))
+    block = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lengths") - 1) / _BLOCK).cast("int")), lambda k: add(F.slice("_lengths", k * _BLOCK + 1, F.lit(_BLOCK))))
+    rows = rows.select(*keep, "_found", "_between", "_lengths", F.explode(F.array(block)).alias("_block"))
+    upto = F.aggregate("_block", F.array(zero), lambda ends, n: F.array_append(ends, F.element_at(ends, -1) + n))
+    rows = rows.select(*keep, "_found", "_between", "_lengths", F.explode(F.array(upto)).alias("_upto"))
+
+    def one(found: Column, i: Column) -> Column:
+        at = F.floor(i / _BLOCK).cast("int")
+        gap, name = F.get("_between", i), _name(found)
+        start = F.get("_upto", at) + add(F.slice("_lengths", at * _BLOCK + 1, i % _BLOCK)) + F.length(gap) + F.length(name)
+        token = F.substring(found, F.length(name) + 1, F.length(found))
+        return F.struct(i.alias("no"), start.alias("start"), token.alias("token"), F.right(F.concat(gap, name), F.lit(BEFORE)).alias("before"), F.left(F.get("_between", i + 1), F.lit(AFTER)).alias("after"))
+
+    return rows.select(*keep, F.inline(F.transform("_found", one)))
+
+
+def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 11) -> DataFrame:
+    """Findings ``before``, ``token``, ``after``, ``label`` (1: a secret) from ``n`` made-up texts, the same on every call.
+
+    Half of the texts hold a secret: hex, base64 and prefixed keys, random letters and passwords that stand where such
+    things are assigned. In the others are look-alikes: digests, numbers, ids, mail addresses, paths, links, versions,
+    names and placeholders, also words where secrets could be assigned. The findings are what ``candidates`` finds.
     """
     h = lambda tag: F.sha2(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"), F.lit(tag)).cast("binary"), 256)
-    pick = lambda tag, *of: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in of)), (F.pmod(F.xxhash64("id", F.lit(f"{seed}{tag}")), F.lit(len(of))) + 1).cast("int"))
+    number = lambda tag, most: F.pmod(F.xxhash64("id", F.lit(f"{seed}{tag}")), F.lit(most)).cast("int")
+    pick = lambda tag, *of: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in of)), number(tag, len(of)) + 1)
     base = F.translate(F.base64(F.unhex(h("b"))), "=\n", "")
-    some = F.substring(base, F.lit(1), (F.pmod(F.xxhash64("id", F.lit("n")), F.lit(24)) + 16).cast("int"))
+    letters = F.translate(base, "0123456789+/", "qZvXkJwYgHpB")
+    some = F.substring(base, F.lit(1), number("n", 24) + 16)
     word = lambda tag: pick(tag, *DICTIONARY[::3])
     digits = F.translate(h("d"), "abcdef", "123456")
-    secret = pick("s", F.substring(h("h"), 1, 40), F.substring(h("h"), 1, 40), F.substring(h("h"), 1, 32), h("h"), F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(base, "+/", "XY"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(base, "+/", "xy"), 1, 36)), F.concat(F.lit("sk-"), F.translate(base, "+/", "xy")), base, some, F.concat(word("w1"), F.lit("_"), F.substring(base, 1, 10), F.substring(digits, 1, 2)))
-    secret_before = F.concat(word("a"), F.lit(" "), word("b"), F.lit(" "), pick("p", 'token = "', 'token = "', "token: ", 'api_key = "', 'secret="', "password=", "password: ", "Authorization: Bearer ", "export SECRET_KEY=", '"private_key": "', 'auth_token: "', "api key: ", "credential = '"))
-    quote = F.when(F.substring(secret_before, -1, 1).isin('"', "'"), F.substring(secret_before, -1, 1)).otherwise(F.lit(" "))
+    assigned = pick("p", 'token = "', 'token="', "token: ", "token=", 'api_key = "', 'api_key="', 'secret="', "secret=", "password=", 'password="', "password: ", "passwd=", "Authorization: Bearer ", "export SECRET_KEY=", '"private_key": "', 'auth_token: "', "api key: ", "credential = '", "AUTH_TOKEN=", "access-key: ")
+    letter_key = F.substring(pick("l", letters, F.lower(letters), F.upper(letters)), F.lit(1), number("m", 24) + 12)
+    short = F.concat(F.substring(base, F.lit(1), number("k", 5) + 6), pick("y", "!", "#", "$", "%", "7", "x9"), F.substring(digits, 1, 1))
+    secret = pick("s", F.substring(h("h"), 1, 40), F.substring(h("h"), 1, 40), F.substring(h("h"), 1, 32), h("h"), F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(base, "+/", "XY"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(base, "+/", "xy"), 1, 36)), F.concat(F.lit("sk-"), F.translate(base, "+/", "xy")), base, some, F.concat(word("w1"), F.lit("_"), F.substring(base, 1, 10), F.substring(digits, 1, 2)), letter_key, letter_key, short, short)
     hex_part = lambda a, k: F.substring(h("u"), a, k)
     other = pick(
         "o",
@@ -130,15 +161,22 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 11) -> Dat
         F.substring(h("h"), 1, 40), h("h"),
         F.concat(F.lit("your_example_key_"), F.substring(digits, 1, 4)), F.concat(F.lit("EXAMPLE"), F.substring(F.upper(h("h")), 1, 12)),
     )
+    worded = pick(
+        "v",
+        F.concat(word("c"), word("d")), F.concat(word("c"), F.lit("_"), word("d")), F.concat(word("c"), F.initcap(word("d"))), F.concat(word("c"), F.lit("-"), word("d")),
+        F.concat(word("c"), F.lit("ing"), word("e")), F.upper(F.concat(word("c"), F.lit("_"), word("d"))), F.concat(word("c"), F.lit("."), word("d"), F.lit("."), word("e")),
+        F.concat(F.lit("/usr/"), word("c"), F.lit("/"), word("d")), F.concat(F.lit("your_"), word("c"), F.lit("_here")), F.concat(F.lit("https://"), word("c"), F.lit(".com/"), word("d")),
+        F.concat(F.lit("$"), F.upper(word("c")), F.lit("_"), F.upper(word("d"))), F.lit("changeme1234"), F.lit("required."), F.lit("undefined"), F.lit("xxxxxxxxxxxx"), F.lit("************"),
+    )
     digest = other.rlike("^[0-9a-f]{40,}$")
-    other_before = F.concat(word("f"), F.lit(" "), word("g"), F.when(digest, pick("q", " commit ", " sha256: ", " checksum ", " digest = ", " revision ", " md5:")).otherwise(pick("r", " ", " ", " (", ", ", ": ", " = ", " see ", " token ")))
-    secretive = F.col("id") % 2 == 0
-    return spark.range(n, numPartitions=2).select(
-        F.when(secretive, secret_before).otherwise(other_before).alias("before"),
-        F.when(secretive, secret).otherwise(other).alias("token"),
-        F.when(secretive, quote).otherwise(pick("t", " ", ".", ") ", ", ")).alias("after"),
-        secretive.cast("double").alias("label"),
-    )
+    plain = F.when(digest, pick("q", " commit ", " sha256: ", " checksum ", " digest = ", " revision ", " md5:")).otherwise(pick("r", " ", " ", " (", ", ", ": ", " = ", " see ", " token "))
+    secretive, in_place = F.col("id") % 2 == 0, F.col("id") % 4 == 1
+    token = F.when(secretive, secret).when(in_place, worded).otherwise(other)
+    before = F.concat(word("a"), F.lit(" "), word("b"), F.when(secretive | in_place, F.concat(F.lit(" "), assigned)).otherwise(plain))
+    last = F.substring(before, -1, 1)
+    after = F.when(last.isin('"', "'"), last).otherwise(pick("t", " ", "\n", ". ", ", ", ") "))
+    made = spark.range(n, numPartitions=2).select(secretive.cast("double").alias("label"), token.alias("made"), F.concat(before, token, after, F.lit(" "), word("f")).alias("text"))
+    return candidates(made, ["label", "made"]).where((F.col("label") == 0) | (F.col("token") == F.col("made"))).select("before", "token", "after", "label")
 
 
 def _vectors(found: DataFrame) -> DataFrame:
@@ -170,30 +208,25 @@ def find_secrets(docs: DataFrame, model: RandomForestClassificationModel, id: st
     A null or empty text has none. Repeated rows and null ids have theirs, row by row; other columns are not read.
     """
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    each = F.transform(
-        F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0)),
-        lambda t: F.length(t),
-    )
-    between = F.transform(F.split("_text", CANDIDATE), lambda g: F.length(g))
-    spans = rows.withColumn("_upto", F.concat_ws(",", F.zip_with(each, between, lambda a, b: F.coalesce(a, F.lit(0)) + b)))
-    found = judge(candidates(spans, ["_id", "_upto"], "_text"), model).where(F.col("probability") >= least)
-    upto = F.slice(F.split("_upto", ","), F.lit(1), F.col("no"))
-    start = F.aggregate(upto, F.lit(0).cast("long"), lambda n, x: n + x.cast("long")) + F.col("gap")
-    return found.select(F.col("_id").alias(id), start.alias("start"), "token", "probability")
+    found = judge(candidates(rows, ["_id"], "_text"), model).where(F.col("probability") >= least)
+    return found.select(F.col("_id").alias(id), "start", "token", "probability")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, id: str = "doc_id", text: str = "text", least: float = 0.5, changed: str | None = None) -> DataFrame:
     """The rows of ``docs`` with ``[secret]`` for each secret in ``text``, and whether there was any in ``changed`` if named.
 
-    All rows stay, null and empty texts as they are. Only texts with candidates are shuffled, by id and content.
+    All rows stay, null and empty texts as they are. A secret goes where it was found; the same characters within
+    another candidate stay. Only texts with candidates are shuffled, by id and content.
     """
     some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
     key = {"_k1": F.xxhash64(F.col(id).cast("string"), text), "_k2": F.xxhash64(text, F.lit(7))}
     rows = docs.where(some).withColumns(key)
-    found = judge(candidates(rows, ["_k1", "_k2"], text), model).where(F.col("probability") >= least)
-    secrets = found.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set(F.struct(-F.length("token"), "token")))["token"].alias("_secrets"))
-    clean = F.aggregate("_secrets", F.col(text), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    joined = rows.join(secrets, ["_k1", "_k2"], "left").withColumn(text, F.when(F.col("_secrets").isNull(), F.col(text)).otherwise(clean))
+    found = judge(candidates(rows, ["_k1", "_k2"], text), model).select("_k1", "_k2", F.struct("no", (F.col("probability") >= least).alias("hit")).alias("hit"))
+    hits = found.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("hit"))["hit"].alias("_hits")).where(F.array_contains("_hits", True))
+    clean = lambda f, hit: F.when(hit, F.concat(_name(f), F.lit(REDACTED))).otherwise(f)
+    cleaned = F.zip_with(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), "_hits", clean)
+    whole = F.array_join(F.zip_with(F.split(text, CANDIDATE), cleaned, lambda b, f: F.concat(b, F.coalesce(f, F.lit("")))), "")
+    joined = rows.join(hits, ["_k1", "_k2"], "left").withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(whole))
     flags = lambda df, flag: df if changed is None else df.withColumn(changed, flag)
     names = [*docs.columns, *([changed] if changed else [])]
-    return flags(docs.where(~some), F.lit(False)).unionByName(flags(joined, F.col("_secrets").isNotNull()).select(*names))
+    return flags(docs.where(~some), F.lit(False)).unionByName(flags(joined, F.col("_hits").isNotNull()).select(*names))
