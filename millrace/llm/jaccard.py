@@ -144,34 +144,12 @@ def _sets(n: int):
     return make
 
 
-def _overlap(threshold: float):
-    """Pairs of rows (x, y, cols_x, cols_y) that reach the threshold."""
-    percent = round(threshold * 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            x, y = batch.column("cols_x"), batch.column("cols_y")
-            vx, vy = x.values.to_numpy(), y.values.to_numpy()
-            ox, oy = x.offsets.to_numpy(), y.offsets.to_numpy()
-            for k in range(batch.num_rows):
-                a, b = vx[ox[k] : ox[k + 1]], vy[oy[k] : oy[k + 1]]
-                both = np.sort(np.concatenate([a, b]))
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(a) + len(b) - shared):
-                    good.append(k)
-            keep = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("x").take(keep), batch.column("y").take(keep)], names=["a", "b"])
-
-    return run
-
-
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (x, y) whose sets reach the threshold, as edges (a, b)."""
     with_y = pairs.join(sets.select(F.col("id").alias("y"), F.col("cols").alias("cols_y")), "y")
     both = with_y.join(sets.select(F.col("id").alias("x"), F.col("cols").alias("cols_x")), "x")
-    kind = pairs.schema["x"].dataType.simpleString()
-    return both.select("x", "y", "cols_x", "cols_y").mapInArrow(_overlap(threshold), f"a {kind}, b {kind}")
+    sized = both.select("x", "y", (F.size("cols_x") + F.size("cols_y")).alias("sizes"), F.size(F.array_intersect("cols_x", "cols_y")).alias("overlap"))
+    return sized.where(100 * F.col("overlap") >= round(threshold * 100) * (F.col("sizes") - F.col("overlap"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -189,6 +167,8 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     3. Pairs across components follow: by counts of common entries where these hold few documents, by rarest columns
        for documents of larger ones. No link that matters is lost.
     """
+    if threshold < _BAND:
+        raise ValueError(f"threshold must be {_BAND} or more, not {threshold}")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -231,7 +211,9 @@ def rare_first_pairs(docs: DataFrame, kind: str, n: int, threshold: float) -> Da
 
     A set's columns are ranked rarest first, so that columns of a single document come before all shared ones. Two
     sets that reach the threshold have their first common column among the first ``size - ceil(threshold * size) + 1``
-    of either, and no more columns in common than follow it in the shorter rest.
+    of either, and no more columns in common than follow it in the shorter rest. In the smaller one it is even among
+    the first ``size - ceil(2 threshold / (1 + threshold) * size) + 1``, as the overlap bound grows with both sizes; only
+    these are met from the other side, so that documents which differ by more than the bound share no columns here.
 
     How many documents have a column is asked for in chunks, as packed lists, and only a set's first columns are
     shuffled one by one, less those of a single document. Counts go by shortened hashes: columns that share one may
@@ -270,21 +252,23 @@ def rare_first_pairs(docs: DataFrame, kind: str, n: int, threshold: float) -> Da
         order = np.lexsort((code, k, doc))
         at = np.arange(len(code)) - to[doc] + 1
         first = own - -(-own * percent // 100) + 1
+        inner = own - -(-2 * percent * own // (100 + percent)) + 1
         keep = np.flatnonzero((k[order] > 1) & (at <= first[doc]))
         of = pa.array(doc[keep])
         take = lambda c: left.column(c).take(of)
-        return pa.table({"col": pa.array(longs(code[order][keep])), "id": take("id"), "c": take("c"), "size": pa.array(own[doc[keep]], pa.int32()), "at": pa.array(at[keep], pa.int32())})
+        return pa.table({"col": pa.array(longs(code[order][keep])), "id": take("id"), "c": take("c"), "size": pa.array(own[doc[keep]], pa.int32()), "at": pa.array(at[keep], pa.int32()), "inner": pa.array(at[keep] <= inner[doc[keep]])})
 
     sent = rows.groupBy("chunk").applyInArrow(send, "part int, chunk int, cols binary, counts binary")
     answered = sent.groupBy("part").applyInArrow(add_up, "chunk int, part int, totals binary")
-    near = cut(rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(first_columns, f"col bigint, id {kind}, c {kind}, size int, at int"))
-    other = near.select("col", *(F.col(c).alias(f"{c}2") for c in ("id", "c", "size", "at")))
+    near = cut(rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(first_columns, f"col bigint, id {kind}, c {kind}, size int, at int, inner boolean"))
+    other = near.where("inner").select("col", *(F.col(c).alias(f"{c}2") for c in ("id", "c", "size", "at")))
+    smaller = (F.col("size2") < F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("id2") < F.col("id")))
     most = 1 + F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
     return (
         near.join(other, "col")
-        .where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")))
+        .where(smaller & (F.col("c") != F.col("c2")))
         .where(100 * most >= percent * (F.col("size") + F.col("size2") - most))
-        .select(F.col("id").alias("x"), F.col("id2").alias("y"))
+        .select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y"))
         .distinct()
     )
 
