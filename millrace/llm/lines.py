@@ -1,6 +1,6 @@
 """Substring deduplication by hashing units of text.
 
-Units are sentences, lines or paragraphs. Their words, lower-cased, without
+Units are paragraphs, lines, or lines cut further at the ends of sentences. Their words, lower-cased, without
 punctuation and spacing, give a digest; of equal digests anywhere in the corpus
 the earliest stays.
 """
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
 from .words import mix, longs, pieces, split_bytes, texts
 
 #: Digests with more units than this are met by broadcast (one of them for as many units of the corpus at most), so that no task has all units of one.
@@ -67,7 +68,7 @@ def find_units(column: pa.Array, unit: str, least: int) -> dict[str, np.ndarray]
     return {k: v[long_] for k, v in out.items()} | {"again": again}
 
 
-def units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "sentence", least: int = 6) -> DataFrame:
+def units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "sentence", least: int = 1) -> DataFrame:
     """Rows ``id``, ``no``, ``start``, ``end``, ``n_words``, ``d1``, ``d2``, ``again`` of all units of at least ``least`` words."""
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null")
     kind = rows.schema["id"].dataType.simpleString()
@@ -82,7 +83,7 @@ def units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "
     return rows.mapInArrow(run, f"id {kind}, no int, start int, end int, n_words int, d1 bigint, d2 int, again boolean")
 
 
-def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "sentence", least: int = 6) -> DataFrame:
+def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str = "sentence", least: int = 1) -> DataFrame:
     """The units to remove: ``id``, ``unit_no`` (from 0, by the text's own units), ``start`` and ``end`` (code points in the
     original text), ``n_words``, ``kept_in`` (the smallest id with that unit, whose first one stays).
 
@@ -90,7 +91,7 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", unit
     lines (``paragraph``). Those of fewer than ``least`` words always stay. Null and empty texts have none; rows with a
     null id are left out; rows that repeat an id count as the same text, and stay or go together.
     """
-    found = units(docs, id, text, unit, least)
+    found = cut(units(docs, id, text, unit, least))  # texts are read once
     firsts = found.groupBy("d1", "d2").agg(F.min("id").alias("kept_in"), F.max("id").alias("last"), F.max("again").alias("within"), F.count("*").alias("n"))
     firsts = firsts.where((F.col("kept_in") != F.col("last")) | F.col("within"))
     hot = firsts.where(F.col("n") > HOT).select("d1", "d2", F.col("kept_in").alias("hot"))
