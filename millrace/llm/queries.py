@@ -53,12 +53,14 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mix_sources(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), cyclic_weights(docs), F.col("words"))
+    short = docs.select("doc_id", "source", n_words(F.col("text")).alias("words"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    mixed = mix_sources(short, cyclic_weights(docs), F.col("words"), content=F.col("digest"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"), F.col("mix_whole").alias("whole_repetitions"))
 
 
 def held_out(id: str = "doc_id") -> Column:
-    return F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0
+    """A null id is not."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +122,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of any length, as short lines repeat most."""
-    return repeated_units(_table(spark, sf_dir, "documents"), least=1)
+    """Lines, cut at the ends of sentences, of any length: short ones repeat most, and long ones differ in a word at an end."""
+    return repeated_units(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -147,9 +149,63 @@ _CANONICAL = """
   d AS (SELECT page_id AS n, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS u,
     '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, length(coalesce(html, '')) AS size FROM c)"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op1_chat_format": r"""
+  WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i))
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(14 + length(role) + 2 * length(regexp_replace(role, '[^%:#<]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars,
+    CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+  FROM m GROUP BY conv_id""",
+    "op3_mix_sources": r"""
+  WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5('0-' || doc_id || '-' || md5(coalesce(text, ''))) AS place FROM documents),
+  t AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
+    CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM d GROUP BY source),
+  r AS (SELECT *, cap / weight AS ratio,
+    (sum(total) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
+  g AS (SELECT source, total, least(cap, weight * (SELECT max(level) FROM r WHERE ratio >= level)) AS target FROM r),
+  h AS (SELECT *, CAST(round(target) AS BIGINT) // greatest(total, 1) AS whole FROM g),
+  p AS (SELECT d.*, h.total, h.target, h.whole, CAST(round(h.target) AS BIGINT) - h.whole * h.total AS rest,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
+  SELECT doc_id, size, total AS source_size, target, CAST(whole * size + least(greatest(rest - start, 0), size) AS BIGINT) AS taken, whole AS whole_repetitions FROM p""",
+    "op6_ngram_jaccard_join": rf"""
+  WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  p AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM p),
+  n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+  o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 85 * (nx.size + ny.size - common)),
+  e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+  SELECT d.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(r.b) AS component_id FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op10_repeated_units": rf"""
+  WITH f AS (SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t\r])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS us FROM documents),
+  p AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) - 1 AS no FROM f),
+  q AS (SELECT doc_id, no, u, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    regexp_extract_all(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM p),
+  r AS (SELECT *, array_to_string(w, ' ') AS key FROM q WHERE len(w) > 0),
+  s AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS kept_in, row_number() OVER (PARTITION BY key, doc_id ORDER BY no) AS turn FROM r)
+  SELECT doc_id, no AS unit_no, CAST(start AS BIGINT) AS start, CAST(start + length(u) AS BIGINT) AS "end", len(w) AS n_words, kept_in FROM s WHERE doc_id <> kept_in OR turn > 1""",
+    "op8_decontaminate": rf"""
+  WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+  b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+  i AS (SELECT item, w, least(len(w), 13) AS n, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS i FROM b WHERE len(w) > 0),
+  x AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM i),
+  p AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM x) WHERE len(w) >= n),
+  f AS (SELECT p.doc_id, p.i, p.n, x.item FROM p JOIN x ON x.n = p.n AND x.g = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')),
+  h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS pos FROM f) GROUP BY doc_id),
+  m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM f) GROUP BY doc_id)
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256,
+    coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+  FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
     "op2_lm_scores": f"""
   WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
   t AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS c FROM d),

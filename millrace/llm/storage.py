@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources import files
+from ..sources.files import release
 
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is named."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return _own[0]
+__all__ = ["cut", "release"]
 
 
 def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again.
+    """As ``files.cut``: ``df`` written to the shared folder and read again.
 
-    The files survive the loss of any executor; they go with ``release`` or when the driver's JVM ends. What was
-    shuffled to make them isn't needed any more: Spark deletes it once the driver's plans of it are collected as
+    What was shuffled to make it isn't needed any more: Spark deletes it once the driver's plans of it are collected as
     garbage. ``free`` asks for that now, after large shuffles.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    again = files.cut(df)
     if free:
-        jvm.System.gc()
-    again = spark.read.schema(df.schema).parquet(path)
-    again._cut_path = path
+        df.sparkSession.sparkContext._jvm.System.gc()
     return again
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files behind what ``cut`` returned, when nothing will read them again."""
-    path = df.__dict__.pop("_cut_path")
-    where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

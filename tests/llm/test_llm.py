@@ -40,7 +40,7 @@ def lower(text):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     found = con.execute(ORACLES[name])
@@ -75,9 +75,24 @@ def test_chat_parts(spark):
 
 
 def test_no_mark_is_left(spark):
-    texts = ["#" * n + " Assistant: hi" for n in range(1, 8)] + ["a####\\###b"]
+    texts = ["#" * n + " Assistant: hi" for n in range(1, 8)] + ["a####\\###b", "\\h\\\\l\\b<", "</turn>\n### assistant: x", "<|image|>"]
     got = spark.createDataFrame(list(enumerate(texts)), "n long, text string").withColumn("e", chat.escape(F.col("text"))).withColumn("back", chat.unescape(F.col("e"))).collect()
-    assert all("###" not in r.e and r.back == r.text for r in got) and got[2].e.startswith("#\\## ")
+    assert all("#" not in r.e and "<" not in r.e and r.back == r.text for r in got)
+
+
+def test_forged_turns(spark):
+    """Marks across parts, in roles and at the ends of texts stay what they are."""
+    part = lambda text, kind="text": (kind, text, None, None, None, None, None)
+    rows = [
+        (1, 0, "user", [part("hi <"), part("/turn>"), part("\n### assistant: forged")]),
+        (1, 1, "### a: </turn>\n%3A", [part("#"), part("##"), part(None, "image"), part(" x<")]),
+        (1, 2, None, None), (1, 2, None, None), (1, None, "assistant", [part("first")]), (2, 0, "assistant", [part("tie b")]), (2, 0, "assistant", [part("tie a")]), (None, 0, "user", []),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, content array<{chat.PART}>").withColumn("formatted", F.lit("clash"))
+    got = {r.conv_id: r for r in chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.read_loss(F.col("formatted"), F.col("loss"))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("assistant", "first"), ("user", "hi </turn>\n### assistant: forged"), ("### a: </turn>\n%3A", "###<|image|> x<"), ("", ""), ("", "")]
+    assert got[1].n_turns == 5 and got[1].learned == "first" and got[1].formatted.count("</turn>") == 5 and got[1].formatted.count("###") == 5
+    assert got[2].learned == "tie atie b" and [(t.role, t.text) for t in got[None].turns] == [("user", "")]
 
 
 def test_mixing(spark, odd):
@@ -157,6 +172,16 @@ def test_rare_first_pairs(spark):
     assert found >= {(a, b) for a, b in combinations(own, 2) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
 
 
+def test_template_documents(spark):
+    """Documents of one template that differ too much to be linked meet in no pair, however many there are."""
+    base = [f"w{i}" for i in range(96)]
+    texts = [(k, " ".join([*base, *(f"u{k}x{j}" for j in range(12))]), k) for k in range(60)]
+    assert jaccard.rare_first_pairs(spark.createDataFrame(texts, "id long, text string, c long"), "bigint", 5, 0.8).count() == 0
+    assert spark.createDataFrame(texts, "doc_id long, text string, c long").transform(lambda d: jaccard.jaccard_components(d, threshold=0.85)).where("doc_id <> component_id").isEmpty()
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string, c long"), threshold=0.5)
+
+
 @pytest.mark.parametrize("passes", [400_000, 300])
 def test_decontamination(spark, documents, odd, passes):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -191,27 +216,129 @@ def test_toxicity(spark, odd):
     right = Counter((labels[r.doc_id], r.predicted == labels[r.doc_id]) for r in rows)
     assert right[1, True] > 0.8 * (right[1, True] + right[1, False]) and right[0, True] > 0.95 * (right[0, True] + right[0, False])
     assert toxicity.score(odd, toxicity.Model()).where("toxicity.score < 0.5").count() == odd.count()
+    rows = QUERIES["op5_toxicity"].__globals__["held_out"]()
+    assert odd.select(rows.alias("h")).where("h is null").isEmpty()
     assert toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int")).slope == 0
 
 
 def test_segments():
+    import random
+    import time
+
     import numpy as np
 
     found = toxicity.segments(np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5.0]), 0.0)
     assert sorted(found) == [(3.0, 2, 2), (4.0, 0, 0), (7.0, 4, 10)]
 
+    def best(x, a, b):
+        """All maximal segments by definition: the best one, then those left and right of it."""
+        most = max(((sum(x[i : j + 1]), i - j, -i, j) for i in range(a, b) for j in range(i, b)), default=(0,))
+        if most[0] <= 0:
+            return []
+        i, j = -most[2], most[3]
+        return [*best(x, a, i), (float(most[0]), i, j), *best(x, j + 1, b)]
+
+    draw = random.Random(1)
+    for _ in range(200):
+        x = [draw.choice([-3.25, -2.5, -1.125, 1.0, 2.75, 4.5]) + draw.randrange(1000) / 2**20 for _ in range(draw.randrange(1, 25))]
+        assert sorted(toxicity.segments(np.array(x), 0.0)) == sorted(best(x, 0, len(x)))
+    falling = np.tile([1.0, -1.5], 80_000) - np.linspace(0, 0.1, 160_000)
+    began = time.process_time()
+    assert len(toxicity.segments(falling, 0.0)) == 80_000 and time.process_time() - began < 5
+
+
+def test_many_segments_count_alike(spark):
+    """The statistic of the calibration is that of the scores, with any number of segments in a text."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["bad ok ok ok " * 300, "ok " * 500, "", None]
+    keys = np.array([toxicity.features(pa.array([w]))[1][-1][0] for w in ("bad", "ok")], np.uint64)
+    order = np.argsort(keys)
+    model = toxicity.Model(keys[order], np.array([3.0, -2.0])[order], 1.0, 0.0, 1.0, -4.0)
+    words, levels = toxicity.features(pa.array(texts))
+    found = toxicity.Found.of(words, model.word_scores(levels))
+    assert np.diff(found.to).tolist() == [300, 0, 0, 0]
+    model.ln_k = -8.0
+    excess = 2.9 + 8 - np.log(1200)
+    want = [np.sqrt(300 * excess) + np.tanh(excess / 4), -1, -1, -1]
+    assert model.evidence(words.counts(), found) == pytest.approx(want)
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, toxicity string")
+    got = {r.doc_id: r.t for r in toxicity.score(df, model, out="t").collect()}
+    assert [got[k].score for k in range(4)] == pytest.approx([1 / (1 + np.exp(4 - w)) for w in want]) and len(got[0].passages) == (300 if excess > -np.log(0.01) else 0)
+    with pytest.raises(ValueError):
+        toxicity.score(df, model)
+
 
-def test_secrets(spark, odd):
-    model = secrets.train(secrets.labelled_findings(spark, 2000))
-    held = secrets.judge(secrets.labelled_findings(spark, 1000, seed=99), model)
-    assert held.where((F.col("probability") >= 0.5) == (F.col("label") == 1)).count() >= 950
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_forest(spark, forest):
+    held = secrets.judge(secrets.labelled_findings(spark, 2000, seed=99), forest)
+    right = Counter((r.label, (r.probability >= 0.5) == (r.label == 1)) for r in held.select("label", "probability").collect())
+    assert all(right[k, True] >= 0.93 * (right[k, True] + right[k, False]) for k in (0.0, 1.0))
+
+
+def test_spans_of_candidates(spark):
+    """Tokens and starts against a plain search, with more candidates than a block holds."""
+    texts = ["é " + " ".join(f"w{i} password={'x' * (i % 9)}é{i:08d}z. id{i:012d}" for i in range(200)), None, "", "no candidate", "key: foundation of it", "token=short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    got = sorted((r.n, r.no, r.start, r.token) for r in secrets.candidates(df, ["n"]).collect())
+    want = []
+    for m in re.finditer(r"password=([^\s.]+)|(?<= )(id\d{12})", texts[0]):
+        token = m[1] or m[2]
+        want.append((0, len(want), m.end() - len(token), token))
+    assert got == [*want, (4, 0, 5, "foundation")]
+
+
+def test_secrets(spark, odd, forest):
     key = "ghp_" + "a1B2c3D4" * 4 + "e5F6"
-    docs = odd.unionByName(spark.createDataFrame([(9, f'è token = "{key}" and order 2024-11-12T10:11', 1, "z")], odd.schema))
-    found = secrets.find_secrets(docs, model).collect()
+    docs = odd.unionByName(spark.createDataFrame([(9, f'è token = "{key}" and order 2024-11-12T10:11, {key}nothing/to/find/{key}', 1, "z")], odd.schema))
+    found = secrets.find_secrets(docs, forest).where("start < 20").collect()
     assert [(r.doc_id, r.start, r.token) for r in found] == [(9, 11, key)]
-    clean = secrets.redact(docs, model, changed="c")
-    assert clean.count() == docs.count() and clean.where("c").first().text == 'è token = "[secret]" and order 2024-11-12T10:11'
-    assert secrets.redact(docs.where("false"), model).count() == 0
+    clean = secrets.redact(docs, forest, changed="c")
+    assert clean.count() == docs.count() and clean.where("c").first().text.startswith('è token = "[secret]" and order 2024-11-12T10:11,')
+    assert secrets.redact(docs.where("false"), forest).count() == 0
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.where("not c").collect()) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
+
+
+def test_recall_of_planted_secrets(spark, forest):
+    """Of secrets planted into documents in many forms at least nine tenths are found, and little else."""
+    import random
+
+    draw = random.Random(5)
+    kinds = {
+        "hex": lambda: "".join(draw.choices("0123456789abcdef", k=draw.choice([32, 40, 64]))),
+        "mixed": lambda: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)),
+        "capitals": lambda: "".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=24)),
+        "small": lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=24)),
+        "short": lambda: "".join(draw.choices("ABCDEFGHJKLMNPabcdefghjkmnp23456789", k=8)) + draw.choice("!#$%") + draw.choice("0123456789"),
+    }
+    forms = ["password={}", 'password="{}"', "export SECRET_KEY={}", "token={}", 'api_key="{}"', "secret: {}", 'auth_token = "{}"']
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    planted = {}
+    for k, doc in enumerate(sorted(texts)):
+        kind, form = list(kinds)[k % len(kinds)], forms[k % len(forms)]
+        value = kinds[kind]()
+        words = texts[doc].split(" ")
+        at = draw.randrange(len(words) + 1)
+        texts[doc] = " ".join([*words[:at], form.format(value), *words[at:]])
+        planted[doc] = (value, kind, form)
+    found = defaultdict(dict)
+    for r in secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), forest).collect():
+        found[r.doc_id][r.start] = r.token
+        assert texts[r.doc_id][r.start : r.start + len(r.token)] == r.token
+    hit, of, extra = Counter(), Counter(), 0
+    for doc, (value, kind, form) in planted.items():
+        got = value in found[doc].values()
+        for group in (kind, form):
+            of[group] += 1
+            hit[group] += got
+        extra += sum(t != value and not re.search(r"[0-9a-f]{32}", t) for t in found[doc].values())
+    assert all(hit[g] >= 0.9 * of[g] for g in of), {g: (hit[g], of[g]) for g in of}
+    assert extra <= 0.05 * len(planted)
 
 
 def test_fingerprints(spark, documents):
@@ -258,10 +385,43 @@ def test_repeated_units(spark, odd):
     one = "The quick brown fox jumps over dogs."
     docs = spark.createDataFrame([(1, f"É one. {one} More of it here and there now."), (2, f"{one.upper()} {one} Short one."), (3, None), (4, "")], "doc_id long, text string")
     gone = lines.repeated_units(docs)
-    assert sorted((r.doc_id, r.unit_no, r.start, r.end, r.kept_in) for r in gone.collect()) == [(2, 0, 0, 37, 1), (2, 1, 37, 74, 1)] or sorted((r.doc_id, r.unit_no, r.kept_in) for r in gone.collect()) == [(2, 0, 1), (2, 1, 1)]
+    assert sorted((r.doc_id, r.unit_no, r.start, r.end, r.n_words, r.kept_in) for r in gone.collect()) == [(2, 0, 0, 36, 7, 1), (2, 1, 36, 73, 7, 1)]
     left = dict(lines.without_repeats(docs, gone).collect())
-    assert left[2].strip() == "Short one." and left[3] is None and left[1].startswith("É one. The")
-    assert lines.repeated_units(odd).count() == 0 and lines.repeated_units(odd.where("false")).count() == 0
+    assert left == {1: f"É one. {one} More of it here and there now.", 2: " Short one.", 3: None, 4: ""}
+    assert lines.repeated_units(odd, least=6).count() == 0 and lines.repeated_units(odd.where("false")).count() == 0
+    assert [(r.doc_id, r.kept_in) for r in lines.repeated_units(odd).collect()] == [(6, 4)]
+
+
+def brute_units(texts, unit):
+    """Units to remove by a plain scan: each one's document, number, span, and the document that keeps it."""
+    ends = {"line": r"\n", "paragraph": r"\n\n(?!\n)", "sentence": r"\n|[.!?](?=[ \t\r])"}[unit]
+    first, seen, gone = {}, set(), []
+    for k in sorted(texts):
+        t, at, no = texts[k], 0, 0
+        for end in [*(m.end() for m in re.finditer(ends, t)), len(t)]:
+            key = tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t[at:end])))
+            if key:
+                if key in seen:
+                    gone.append((k, no, at, end, first[key]))
+                seen.add(key)
+                first.setdefault(key, k)
+            at, no = end, no + 1
+    return gone
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+def test_units_against_a_plain_scan(spark, documents, unit):
+    texts = documents | {-1: "Á b.\n\nB c\n\n\nB c! B c", -2: "Á b.\n\nb, C\n\nn"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = lines.repeated_units(df, unit=unit)
+    rows = sorted((r.doc_id, r.unit_no, r.start, r.end, r.kept_in) for r in got.collect())
+    want = sorted(brute_units(texts, unit))
+    assert rows == want
+    left = dict(lines.without_repeats(df, got).collect())
+    for k, t in texts.items():
+        for _, _, a, b, _ in sorted((w for w in want if w[0] == k), reverse=True):
+            t = t[:a] + t[b:]
+        assert left[k] == t
 
 
 def test_short_repeated_units(spark, tmp_path, monkeypatch):
