@@ -34,8 +34,8 @@ _BAND = 0.65
 #: Entries of up to so many documents are joined with themselves; those of more are searched by rarest columns.
 _FEW = 24
 _E_BITS = 24
-#: Bytes of text behind a chunk of crowded documents, and bits by which a column's count is found beyond those that tell bytes apart.
-_CHUNK_BYTES, _SPARE_BITS = 8 << 20, 6
+#: Bytes of text behind a chunk of crowded documents.
+_CHUNK_BYTES = 8 << 20
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,19 +216,16 @@ def rare_first_pairs(docs: DataFrame, kind: str, n: int, threshold: float) -> Da
     these are met from the other side, so that documents which differ by more than the bound share no columns here.
 
     How many documents have a column is asked for in chunks, as packed lists, and only a set's first columns are
-    shuffled one by one, less those of a single document. Counts go by shortened hashes: columns that share one may
-    rank later than they should, but alike in all sets.
+    shuffled one by one, less those of a single document.
     """
     percent = round(threshold * 100)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     parts = math.ceil(size / _CHUNK_BYTES)
-    bits = min(64, max(32, size.bit_length() + _SPARE_BITS))
     rows = docs.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    brief = lambda code: mix(code) >> np.uint64(64 - bits)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        col, count = np.unique(brief(_chunk_sets(table.column("text"), n)[0]), return_counts=True)
-        part = ((col >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        col, count = np.unique(mix(_chunk_sets(table.column("text"), n)[0]), return_counts=True)
+        part = ((col >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         to = np.append(at[1:], len(part))
         lists_ = [[f(x[i:j]) for i, j in zip(at, to, strict=False)] for f, x in ((pack, col), (pack_counts, count))]
@@ -246,7 +243,7 @@ def rare_first_pairs(docs: DataFrame, kind: str, n: int, threshold: float) -> Da
         code, to = _chunk_sets(left.column("text"), n)
         answers = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True))
         total = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(b) for _, b in answers)])
-        k = total[np.unique(brief(code), return_inverse=True)[1]]
+        k = total[np.unique(mix(code), return_inverse=True)[1]]
         own = np.diff(to)
         doc = np.repeat(np.arange(len(own)), own)
         order = np.lexsort((code, k, doc))
