@@ -25,6 +25,9 @@ from .words import Words, gram_hash, mix, pieces, split
 PASS_WORDS = 400_000
 #: A cursor's share of a text, in words.
 _STRETCH = 384
+#: Words of an item that go to a pass together, at most.
+_ITEM_WORDS = 20_000
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 RESULT = T.StructType(
     [
@@ -54,11 +57,9 @@ class Patterns:
         order = np.argsort(whole, kind="stable")
         windows, whole = windows[order], whole[order]
         new = np.concatenate([[True], whole[1:] != whole[:-1]])
-        items: list[list[str]] = []
-        for k, i in enumerate(order):
-            if new[k]:
-                items.append([])
-            items[-1].append(item[i])
+        names, code = np.unique(np.array(item, object).astype(str), return_inverse=True)
+        pairs = np.unique(np.stack([np.cumsum(new) - 1, code[order]], 1), axis=0)  # window and item, by name within a window
+        items = [names[own].tolist() for own in np.split(pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0])) + 1)]
         windows, whole = windows[new], whole[new]
         block = min(2, length)
         bits = max(12, int(np.ceil(np.log2(8 * windows.size + 1))))
@@ -66,7 +67,7 @@ class Patterns:
         for end in range(block - 1, length):  # later blocks allow smaller shifts
             code = cls.code([windows[:, end - j] for j in range(block)], bits)
             shift[code] = np.minimum(shift[code], length - 1 - end)
-        return cls(length, windows, whole, [sorted(set(x)) for x in items], block, bits, shift)
+        return cls(length, windows, whole, items, block, bits, shift)
 
     @staticmethod
     def code(word: list[np.ndarray], bits: int) -> np.ndarray:
@@ -163,17 +164,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     out; repeated rows are kept, each with its own result, and repeated items count once. An empty benchmark hits
     nothing. Other columns pass unchanged, whatever their names (but not ``out``, which must be free).
 
-    The benchmark is read in passes of at most ``pass_words`` words, each pass held by the executors at once; more than
-    one pass writes the documents' intermediate results to the shared folder in between.
+    The benchmark is read in passes of about ``pass_words`` words, each pass held by the executors at once; more than
+    one pass writes the documents' intermediate results to the shared folder in between. A long item is cut into
+    stretches that overlap by a window less a word, so that all of its windows are there and any pass is small.
     """
     keep = list(docs.columns if keep is None else keep)
     if out in keep:
         raise ValueError(f"docs has a column {out!r} already")
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    sized = items.withColumn("n", F.length("t") / 2 + 1)
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    passes = max(1, int(np.ceil(total * width / pass_words / width)))
+    step = min(_ITEM_WORDS, max(width, pass_words // 4))
+    words = F.regexp_extract_all(item_text, F.lit(_WORD), F.lit(0))
+    items = benchmark.select(F.col(item).cast("string").alias("i"), words.alias("w")).where("i is not null and size(w) > 0")
+    items = items.select("i", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0)), F.lit(step))).alias("at"))
+    items = items.select("i", F.array_join(F.slice("w", F.col("at") + 1, F.lit(step + width - 1)), " ").alias("t"), F.least(F.size("w") - F.col("at"), F.lit(step + width - 1)).alias("n"))
+    total = items.agg(F.sum("n")).first()[0] or 0
+    passes = max(1, int(np.ceil(total / pass_words)))
     frame, wanted = docs.select(*dict.fromkeys([*keep, text])), list(dict.fromkeys([*keep, text]))
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)

@@ -182,7 +182,7 @@ def test_template_documents(spark):
         jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string, c long"), threshold=0.5)
 
 
-@pytest.mark.parametrize("passes", [400_000, 300])
+@pytest.mark.parametrize("passes", [400_000, 300, 40])
 def test_decontamination(spark, documents, odd, passes):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     windows = defaultdict(set)
@@ -446,6 +446,21 @@ def test_scores_and_revisits_of_odd_rows(spark, odd):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, odd):
+    """Stages on nulls, empty, repeated and long texts, with columns named like their own and without ``n_chars``."""
+    docs = odd
+    for name in ("_toxicity", "_search", "_changed", "repetition", "mix_size"):
+        docs = docs.withColumn(name, F.lit(name))
+    want = sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        rows = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+        assert rows == ([x for x in want if x[0] != 6] if name == "near duplicates" else want), name
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert mixed.columns == [*docs.columns, "_repetition"] and mixed.where("mix_size <> 'mix_size' or repetition <> 'repetition'").isEmpty() and mixed.count() > 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
