@@ -23,10 +23,19 @@ from millrace.llm.toxicity import fit, score
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have; names are compared as Spark does, without regard to case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay if they score less than a half."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), use=~held_out())
-    return score(docs, model, out="_toxicity").where(F.col("_toxicity.score") < 0.5).select(*docs.columns)
+    out = free_name(docs, "_toxicity")
+    return score(docs, model, out=out).where(F.col(out)["score"] < 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +50,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay unless benchmark windows cover a twentieth of their words."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, benchmark, out="_search").where(~is_contaminated("_search")).select(*docs.columns)
+    out = free_name(docs, "_search")
+    return decontaminate(docs, benchmark, out=out).where(~is_contaminated(out)).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, with their secrets redacted and ``n_chars`` counted anew where they were."""
-    cleaned = redact(docs, train(labelled_findings(spark)), changed="_changed")
-    n_chars = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+    """All documents stay, with their secrets redacted and ``n_chars``, if there is such a column, counted anew where they were."""
+    changed = free_name(docs, "_changed")
+    cleaned = redact(docs, train(labelled_findings(spark)), changed=changed)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col(changed), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", n_chars)
+    return cleaned.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, numbered in ``repetition``; the last may be a part of its text."""
-    return repetitions(mix_sources(docs, cyclic_weights(docs), n_words(F.col("text"))))
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return repetitions(mix_sources(docs, cyclic_weights(docs), n_words(F.col("text")), prefix=prefix), prefix=prefix, out=free_name(docs, "repetition"))
 
 
 STAGES: list[tuple[str, Stage]] = [
