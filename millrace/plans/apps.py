@@ -11,6 +11,7 @@ from ..operators.joins import asof_join
 from ..operators.merges import interleave
 from ..operators.stateless import cvwap, duplicate, filter_rows, map_rows, mod_filter, multiply, split_words
 from ..operators.windows import count_window, running, sliding_count_window
+from ..sources.files import cut
 from .flow import Flow
 
 
@@ -83,8 +84,8 @@ def reverse_tree(left: DataFrame, right: DataFrame, times: int) -> DataFrame:
 
 
 def varying_selectivity(rows: DataFrame, order: Sequence[str], times: int, first: int = 4, second: int = 2) -> DataFrame:
-    """Each row four times, multiplied, every 4th kept, multiplied, every 2nd kept, multiplied."""
-    some = multiply(mod_filter(multiply(duplicate(rows, first), times), first, order), times)
+    """Each row four times, multiplied, every 4th kept, multiplied, every 2nd kept, multiplied. What is kept first is written, as it is read twice."""
+    some = cut(multiply(mod_filter(multiply(duplicate(rows, first), times), first, order), times))
     return multiply(mod_filter(some, second, order), times)
 
 

@@ -365,35 +365,37 @@ def keyed_sum_fanout(spark, sf):
     return merges.interleave(*branches).groupBy("user_id").agg(F.count("*").alias("branches"), F.min("mult").alias("least"), F.max("mult").alias("most"))
 
 
-def _load(spark: SparkSession) -> DataFrame:
-    return made.keyed_values(spark, 200, 3, 8)
+def _load(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a load for multipliers."""
+    key, value = F.col("user_id").cast("int"), (F.col("event_id") % 3).cast("int")
+    return events(spark, sf).select(F.col("event_id").alias("seq"), key.alias("key1"), key.alias("key2"), value.alias("val1"), value.alias("val2"))
 
 
 @query
 def chain_single_region(spark, sf):
-    return apps.chain(_load(spark), (["key1"], 3), ([], 2))
+    return apps.chain(_load(spark, sf), (["key1"], 3), ([], 2))
 
 
 @query
 def chain_multi_region(spark, sf):
-    return apps.chain(_load(spark), (["key1", "key2"], 2), (["key1"], 3))
+    return apps.chain(_load(spark, sf), (["key1", "key2"], 2), (["key1"], 3))
 
 
 @query
 def tree(spark, sf):
-    one, two = apps.tree(_load(spark), 2)
+    one, two = apps.tree(_load(spark, sf), 2)
     return merges.interleave(one.withColumn("branch", F.lit(1)), two.withColumn("branch", F.lit(2)))
 
 
 @query
 def reverse_tree(spark, sf):
-    rows = _load(spark)
+    rows = _load(spark, sf)
     return apps.reverse_tree(rows, rows.withColumn("val1", F.col("val1") + 1), 2)
 
 
 @query
 def varying_selectivity(spark, sf):
-    return apps.varying_selectivity(_load(spark), ["seq"], 2)
+    return apps.varying_selectivity(_load(spark, sf), ["seq"], 2)
 
 
 @query

@@ -19,6 +19,9 @@ def _keyed(keys: int, values: int, per_key: int) -> str:
     return f"SELECT i AS seq, CAST(i % {keys} AS INTEGER) AS key1, CAST(i % {keys} AS INTEGER) AS key2, CAST(i % {values} AS INTEGER) AS val1, CAST(i % {values} AS INTEGER) AS val2 FROM range({keys * per_key}) t(i)"
 
 
+_LOAD = "SELECT event_id AS seq, CAST(user_id AS INTEGER) AS key1, CAST(user_id AS INTEGER) AS key2, CAST(event_id % 3 AS INTEGER) AS val1, CAST(event_id % 3 AS INTEGER) AS val2 FROM events"
+
+
 def _multiply(rows: str, times: int) -> str:
     """Powers instead of repeated products."""
     extra = max(1, times // 64)
@@ -115,11 +118,11 @@ ORACLES: dict[str, str] = {
     "word_count2": f"SELECT word, count(*) AS count FROM (SELECT unnest(string_split(sentence, ' ')) AS word FROM ({_SENTENCES})) GROUP BY word",
     "keyed_sum_x100": _SUMS,
     "keyed_sum_fanout": f"SELECT user_id, CAST(4 AS BIGINT) AS branches, mult AS least, mult AS most FROM ({_SUMS})",
-    "chain_single_region": _chain(_keyed(200, 3, 8), 3, 2),
-    "chain_multi_region": _chain(_keyed(200, 3, 8), 2, 3),
-    "tree": f"SELECT *, 1 AS branch FROM ({_chain(_keyed(200, 3, 8), 2, 2)}) UNION ALL SELECT *, 2 FROM ({_chain(_keyed(200, 3, 8), 2, 4)})",
-    "reverse_tree": f"{_chain(_keyed(200, 3, 8), 2, 2)} UNION ALL {_chain(f'SELECT * REPLACE (val1 + 1 AS val1) FROM ({_keyed(200, 3, 8)})', 2, 2)}",
-    "varying_selectivity": _chain(f"SELECT * FROM ({_chain(_keyed(200, 3, 8), 2, 2)}) WHERE seq % 2 = 0", 2),
+    "chain_single_region": _chain(_LOAD, 3, 2),
+    "chain_multi_region": _chain(_LOAD, 2, 3),
+    "tree": f"SELECT *, 1 AS branch FROM ({_chain(_LOAD, 2, 2)}) UNION ALL SELECT *, 2 FROM ({_chain(_LOAD, 2, 4)})",
+    "reverse_tree": f"{_chain(_LOAD, 2, 2)} UNION ALL {_chain(f'SELECT * REPLACE (val1 + 1 AS val1) FROM ({_LOAD})', 2, 2)}",
+    "varying_selectivity": _chain(f"SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (ORDER BY seq) AS place FROM ({_chain(_LOAD, 2, 2)})) WHERE place % 2 = 1", 2),
     "dynamic_rate": _chain(_keyed(100, 5, 10), 2),
     "prefix_key_chain": "SELECT user_id, event_type, round(sum(value), 4) AS sum FROM events GROUP BY ALL",
     "numbered": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events",
