@@ -7,9 +7,9 @@ counts of just the n-grams that it sent. A chunk joins the answers to the
 n-grams of its documents, word by word, and sums the scores per document.
 
 So this is a join of count tables with exploded n-grams, of which a chunk names each only once. The rows that one
-chunk and one table have for each other travel as one, in sorted lists: n-grams one by one would fill more than twice
+chunk and one table have for each other travel as one, in sorted lists: n-grams one by one would fill several times
 the disk. There are as many tables as the text has ``CHUNK_BYTES``, so that any of them fits into a task; a row holds
-at least one n-gram, so rows are never more than n-grams one by one would be. N-grams are told apart by 64-bit hashes.
+at least one n-gram, so rows are never more than n-grams one by one would be. N-grams are told apart by their hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ from .words import gram_hash, mix, pieces, split
 
 #: Bytes of text behind a chunk of documents and behind a count table.
 CHUNK_BYTES = 8 << 20
+#: Bits of a hash beyond those that tell the corpus' bytes apart, up to 64 in all: one n-gram in some 2 ** SPARE_BITS
+#: shares its hash, however large the corpus is.
+SPARE_BITS = 26
 
 _ZSTD = pa.Codec("zstd", 3)
 
@@ -77,7 +80,7 @@ def unpack_counts(b: bytes) -> np.ndarray:
 class _Grams:
     """The words of a chunk's documents, and for each order the hash of the n-gram that ends at each word."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int) -> None:
+    def __init__(self, texts: pa.ChunkedArray, order: int, bits: int) -> None:
         hashes, counts = [], []
         for batch in pieces(pa.table({"text": texts}).to_batches(), "text"):
             words = split(batch.column(0), "alnum")
@@ -87,9 +90,10 @@ class _Grams:
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         self.place = np.arange(len(word)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        down = np.uint64(64 - bits)
         #: Of order n, whether it fits behind each word, and its hash there. The empty n-gram is 0.
         self.by_order = [(np.flatnonzero(self.place >= n - 1), n) for n in range(1, order + 1)]
-        self.hash = [mix(gram_hash(word, at - (n - 1), n)) for at, n in self.by_order]
+        self.hash = [mix(gram_hash(word, at - (n - 1), n)) >> down for at, n in self.by_order]
 
     def unique(self) -> tuple[np.ndarray, np.ndarray]:
         every = np.sort(np.concatenate([*self.hash, np.zeros(0, np.uint64)]))
@@ -118,12 +122,13 @@ def backoff_scores(docs: DataFrame, text: str = "text", keep: list[str] | None =
         raise ValueError(f"docs has columns {sorted(clash)} already; choose another prefix")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 1
     parts = math.ceil(size / CHUNK_BYTES)
+    bits = min(64, max(32, size.bit_length() + SPARE_BITS))
     wanted = list(dict.fromkeys([*keep, text]))
     rows = docs.select(*wanted, F.pmod(F.xxhash64(*keep, text), F.lit(parts)).cast("int").alias("_chunk"))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        gram, count = _Grams(table.column(text), order).unique()
-        part = ((gram >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        gram, count = _Grams(table.column(text), order, bits).unique()
+        part = ((gram >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         to = np.append(at[1:], len(part))
         return pa.table(
@@ -148,7 +153,7 @@ def backoff_scores(docs: DataFrame, text: str = "text", keep: list[str] | None =
         return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([pack_counts(back[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        grams = _Grams(left.column(text), order)
+        grams = _Grams(left.column(text), order, bits)
         key, _ = grams.unique()
         answers = sorted(zip(right.column("part").to_pylist(), right.column("totals").to_pylist(), strict=True))
         total = np.concatenate([unpack_counts(b) for _, b in answers])
