@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import TextIO
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from .files import cut
 
+#: Lines that a task prints at a time.
+_LINES = 1_000
+
 
 def for_each(df: DataFrame, effect: Callable[[DataFrame], None]) -> DataFrame:
     """Run ``effect`` on the rows and return the same rows.
@@ -47,14 +51,29 @@ def format_tuple(df: DataFrame, fields: list[str] | None = None) -> Column:
     return F.concat(F.lit("Tuple("), F.array_join(F.array_compact(F.array(*each)), ","), F.lit(")"))
 
 
-def console(df: DataFrame, text: Column | None = None, out: TextIO | None = None) -> DataFrame:
-    """Print every row as text, and return the rows. The driver holds one partition of rows at a time."""
+def console(df: DataFrame, text: Column | None = None, out: TextIO | str | None = None) -> DataFrame:
+    """Print every row as text, and return the rows.
+
+    Each task prints its own rows, whole lines at a time, and the driver gets none of them: to the console (log) of its
+    executor, or to the file or device that ``out`` names on each machine. Only to an open file as ``out``, which the
+    driver alone has, the driver prints; it takes all rows then, one partition at a time.
+    """
     kept = cut(df)
-    for row in kept.select((format_tuple(df) if text is None else text).alias("tuple")).toLocalIterator():
-        print(row["tuple"], file=out or sys.stdout)
+    lines = kept.select((format_tuple(df) if text is None else text).alias("tuple"))
+    if out is None or isinstance(out, str):
+        lines.foreachPartition(lambda rows: _put(rows, out))
+    else:
+        for row in lines.toLocalIterator():
+            print(row["tuple"], file=out)
     return kept
 
 
+def _put(rows: Iterator[Row], path: str | None) -> None:
+    with open(sys.stderr.fileno() if path is None else path, "ab", buffering=0, closefd=path is not None) as to:
+        while some := list(islice(rows, _LINES)):
+            to.write("".join(f"{row['tuple']}\n" for row in some).encode())
+
+
 class MetricsLog(StreamingQueryListener):
     """Hands the metrics that ``df.observe`` gathers in each micro-batch of a stream to ``sink``: name, batch and values by name.
 

@@ -225,6 +225,26 @@ def test_console_and_metrics(spark):
     assert seen and seen[0] == ("passed", 7)
 
 
+def test_console_prints_in_tasks(spark, tmp_path, monkeypatch):
+    """Every row is printed once as a whole line by its task; none goes to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from millrace.plans.catalog import QUERIES
+    from millrace.sources import sinks
+
+    def refuse(self, *_, **__):
+        raise AssertionError("rows on the driver")
+
+    for way in ("collect", "toLocalIterator", "toPandas"):
+        monkeypatch.setattr(DataFrame, way, refuse)
+    path = tmp_path / "printed"
+    shown = sinks.console(spark.range(0, 30_000, 1, 6), out=str(path))
+    sinks.console(spark.range(3))
+    QUERIES["sink_console"](spark, "/root/testdata/sf0.001")
+    monkeypatch.undo()
+    assert sorted(path.read_text().splitlines()) == sorted(f"Tuple({{id={i}}})" for i in range(30_000)) and shown.count() == 30_000
+
+
 def test_rated_streams(spark):
     from millrace.sources import generators
 
