@@ -8,9 +8,11 @@ store (``STATE_STORE``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -49,6 +51,74 @@ def stateful(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], st
     return stream.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+#: Numbers of lots into which ``in_lots`` deals keys; a lot's keys share one state and one call for each micro-batch.
+LOTS = 256
+
+#: From the states of keys (a row each, null where there was none) and new rows (by key in order, ``_key`` the number of
+#: its row of states, none skipped) to the states then and output columns, which keep the index of the rows they come from.
+LotStep = Callable[[pd.DataFrame, pd.DataFrame], tuple[pd.DataFrame, pd.DataFrame]]
+
+
+class _Lots(StatefulProcessor):
+    def __init__(self, columns: list[str], order_by: list[str], flags: dict[str, int], state: T.StructType, step: LotStep, carried: list[str], outputs: list[str]) -> None:
+        self.columns, self.order_by, self.flags, self.fields, self.step, self.carried, self.outputs = columns, order_by, flags, state.fields, step, carried, outputs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        columns = [T.StructField("_key", T.StringType()), *self.fields]
+        self.state = handle.getValueState("states", T.StructType([T.StructField(c.name, T.ArrayType(c.dataType)) for c in columns]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).set_axis(self.columns, axis=1)  # Spark renames columns that begin with _
+        own, names = pd.factorize(new["_key"])
+        empty = {f"_null_{c}": new["_nulls"].to_numpy() >> k & 1 for c, k in self.flags.items()}
+        new = new.assign(_key=own, **empty).sort_values(["_key", *(n for c in self.order_by for n in (f"_null_{c}", c) if n in new or n in empty)], kind="stable", ignore_index=True)
+        known, *values = self.state.get() or [[] for _ in range(len(self.fields) + 1)]
+        before = pd.DataFrame({f.name: pd.Series(v, dtype=None if v else object) for f, v in zip(self.fields, values, strict=True)})
+        at = pd.Index(known, dtype=object).get_indexer(names)
+        after, out = self.step(before.reindex(at).reset_index(drop=True), new)
+        other = pd.Series(True, index=before.index)
+        other.iloc[at[at >= 0]] = False
+        kept = other.to_numpy().nonzero()[0]
+        both = [[v[i] for i in kept] + after[f.name].tolist() for f, v in zip(self.fields, values, strict=True)]
+        self.state.update(([known[i] for i in kept] + list(names), *both))
+        yield new.loc[out.index, self.carried].assign(**out)[self.outputs]
+
+    def close(self) -> None:
+        pass
+
+
+def _key_text(stream: DataFrame, name: str) -> Column:
+    """A text that tells the values of a column apart as grouping does: exact for times, the same for both zeros."""
+    kind, column = stream.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.TimestampType):
+        column = F.unix_micros(column)
+    elif isinstance(kind, T.BinaryType):
+        column = F.hex(column)
+    elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        column = column + F.lit(0.0)
+    return column.cast("string")
+
+
+def in_lots(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], state: str, step: LotStep, carried: Sequence[str], outputs: str, lots: int = LOTS) -> DataFrame:
+    """As ``stateful``, for steps that take many keys at once: a call for each of ``lots`` and micro-batch, not for each key.
+
+    ``keys`` and the columns ``carried`` of the rows that outputs come from pass on beside ``outputs``. Null keys are
+    keys; null in an order column comes last. Keys are dealt by hash, so that a lot holds as many as the keys make it.
+    """
+    passed = list(dict.fromkeys([*keys, *carried]))
+    whole = [c for c in dict.fromkeys([*passed, *order_by]) if isinstance(stream.schema[c].dataType, T.IntegralType)]
+    flags = {c: k for k, c in enumerate(whole)}  # pandas has no null whole numbers
+    nulls = sum((F.col(c).isNull().cast("bigint") * (1 << k) for c, k in flags.items()), F.lit(0).cast("bigint"))
+    rows = stream.withColumns({"_key": F.to_json(F.array(*(_key_text(stream, k) for k in keys))), "_nulls": nulls})
+    rows = rows.withColumns({"_lot": F.pmod(F.xxhash64("_key"), F.lit(lots)), **{c: F.coalesce(c, F.lit(0).cast(stream.schema[c].dataType)) for c in whole}})
+    made = T.StructType.fromDDL(outputs)
+    schema = T.StructType([*(stream.schema[c] for c in passed), *made, T.StructField("_nulls", T.LongType())])
+    processor = _Lots(rows.columns, list(order_by), flags, T.StructType.fromDDL(state), step, [*passed, "_nulls"], schema.names)
+    found = rows.groupBy("_lot").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    back = lambda c: F.when(F.col("_nulls").bitwiseAND(F.lit(1 << flags[c]).cast("bigint")) == 0, F.col(c)).alias(c) if c in flags else F.col(c)
+    return found.select(*(back(c) for c in passed), *made.names)
+
+
 def stream_count_window(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], size: int, value: str) -> DataFrame:
     """``keys``, ``window``, ``total`` of every ``size`` values of a key; the open window waits in the state."""
 
@@ -92,22 +162,26 @@ def stream_running(stream: DataFrame, keys: Sequence[str], order_by: Sequence[st
 
 
 def stream_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, take: str, value: str) -> DataFrame:
-    """``keys``, ``by``, ``value`` of each left row, and ``take``, the key's latest right value at that time or before; without one there is no row.
+    """``keys``, ``by``, ``value`` of each left row, and ``take``, the key's latest right value (null too) at that time or before; without one there is no row.
 
-    Both streams have the columns ``by``, and a double ``value`` or ``take``. Right rows come first where times tie.
+    Both streams have the columns ``by``, and a double ``value`` or ``take``. Right rows come first where times tie. Null
+    keys and times meet nothing.
     """
-    ours = left.select(*keys, by, F.lit(1).alias("side"), F.col(value).cast("double").alias("number"))
-    theirs = right.select(*keys, by, F.lit(0).alias("side"), F.col(take).cast("double").alias("number"))
-
-    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        met = rows["number"].where(rows["side"] == 0).ffill()
-        if state is not None:
-            met = met.fillna(state[0])
-        found = rows.assign(**{take: met})[(rows["side"] == 1) & met.notna()]
-        return (float(met.iloc[-1]),), found.rename(columns={"number": value})[[by, value, take]]
-
-    kind = left.schema[by].dataType.simpleString()
-    return stateful(ours.unionByName(theirs), keys, [by, "side"], "value double", step, f"{by} {kind}, {value} double, {take} double")
+    each = [F.col(c).isNotNull() for c in (*keys, by)]
+    ours = left.where(reduce(and_, each)).select(*keys, by, F.lit(1).alias("side"), F.col(value).cast("double").alias("number"))
+    theirs = right.where(reduce(and_, each)).select(*keys, by, F.lit(0).alias("side"), F.col(take).cast("double").alias("number"))
+
+    def step(before: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        own, numbers = rows["_key"], rows["number"].astype("float64")
+        latest = pd.Series(rows.index, index=rows.index).where(rows["side"] == 0).groupby(own).ffill()
+        old, seen = (before[c].astype("float64").reindex(own).set_axis(rows.index) for c in ("value", "seen"))
+        met = numbers.reindex(latest).set_axis(rows.index).where(latest.notna(), old)
+        seen = latest.notna() | (seen == 1)
+        last = ~own.duplicated(keep="last")
+        after = pd.DataFrame({"value": met[last].astype(object).where(met[last].notna(), None), "seen": seen[last].astype("int32")}).reset_index(drop=True)
+        return after, pd.DataFrame({value: numbers, take: met})[(rows["side"] == 1) & seen]
+
+    return in_lots(ours.unionByName(theirs), keys, [by, "side"], "value double, seen int", step, [by], f"{value} double, {take} double")
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -245,6 +245,80 @@ def test_console_prints_in_tasks(spark, tmp_path, monkeypatch):
     assert sorted(path.read_text().splitlines()) == sorted(f"Tuple({{id={i}}})" for i in range(30_000)) and shown.count() == 30_000
 
 
+@pytest.fixture(scope="module")
+def readings(spark):
+    """Rows of 40 keys (one null, two that differ in the last digit beyond 2 ** 53) over three slices; null values, and ids beyond 2 ** 53 beside a null one."""
+    big = 2**60
+    rows = []
+    for i in range(600):
+        key = None if i % 40 == 0 else big + i % 40
+        rows.append((None if i == 7 else big + i, i if i != 7 else 600, key, "purchase" if i % 3 == 0 else "view", None if i % 11 == 0 else i / 4))
+    frame = spark.createDataFrame(rows, "id bigint, ts bigint, k bigint, kind string, value double").withColumn("slice", F.col("ts"))
+    return rows, frame
+
+
+def _by_key(rows):
+    keyed = {}
+    for row in sorted(rows, key=lambda r: r[1]):
+        keyed.setdefault(row[2], []).append(row)
+    return keyed
+
+
+@pytest.mark.parametrize("name", ["asof"])
+def test_streams_in_lots(spark, readings, name):
+    """Keys that share a lot don't mix, from micro-batch to micro-batch; null and large keys and ids stay as they are."""
+    from millrace import streaming
+
+    rows, frame = readings
+    stream = streaming.as_stream(spark, frame, "slice", ["k"], files=2)
+    order, want = ["ts", "id"], []
+    for key, own in _by_key(rows).items():
+        numbers = [r[4] or 0.0 for r in own]
+        if name == "running":
+            want += [(key, r[1], r[0], n + 1, sum(numbers[: n + 1])) for n, r in enumerate(own)]
+        elif name == "count_window":
+            want += [(key, w, sum(numbers[4 * w : 4 * w + 4])) for w in range(len(own) // 4)]
+        elif name == "ema":
+            mean = numbers[0]
+            for r, x in zip(own, numbers, strict=True):
+                mean = 0.3137 * x + (1 - 0.3137) * mean
+                want.append((key, r[1], r[0], round(mean, 6)))
+        elif key is not None:  # as of: null keys meet nothing
+            met = None
+            for r in own:
+                met = r if r[3] == "purchase" else met
+                if r[3] == "view" and met:
+                    want.append((key, r[1], r[4], met[4]))
+    if name == "asof":
+        ours, theirs = (stream.where(F.col("kind") == k) for k in ("view", "purchase"))
+        made = streaming.stream_asof(ours, theirs.withColumnRenamed("value", "price"), ["k"], "ts", "price", "value")
+    elif name == "count_window":
+        made = streaming.stream_count_window(stream, ["k"], order, 4, "value")
+    elif name == "ema":
+        made = streaming.stream_ema(stream, ["k"], order, "value", 0.3137)
+    else:
+        made = streaming.stream_running(stream, ["k"], order, "value")
+    got = streaming.run_available(made)
+    if name == "ema":
+        got = got.withColumn("value", F.round("value", 6))
+    text = lambda found: sorted(map(repr, found))
+    assert text(tuple(r) for r in got.collect()) == text(want)
+
+
+def test_a_call_takes_many_keys(spark, readings):
+    """A lot's keys come in one call for each micro-batch, so that calls don't grow with keys."""
+    import pandas as pd
+
+    from millrace import streaming
+
+    def step(before, rows):
+        return before.assign(n=1).astype("int64"), pd.DataFrame({"met": len(before)}, index=rows.index[:1])
+
+    stream = streaming.as_stream(spark, readings[1], "slice", ["k"], files=2)
+    got = streaming.run_available(streaming.in_lots(stream, ["k"], ["ts"], "n bigint", step, [], "met int", lots=2)).collect()
+    assert len(got) == 6 and sum(r.met for r in got) == 3 * 40
+
+
 def test_rated_streams(spark):
     from millrace.sources import generators
 
