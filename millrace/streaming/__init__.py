@@ -122,18 +122,21 @@ def in_lots(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], sta
 def stream_count_window(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], size: int, value: str) -> DataFrame:
     """``keys``, ``window``, ``total`` of every ``size`` values of a key; the open window waits in the state."""
 
-    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        n, total = state or (0, 0.0)
-        place = pd.Series(range(n, n + len(rows)))
-        sums = rows[value].fillna(0.0).groupby(place // size).sum()
-        if n % size and len(sums):
-            sums.iloc[0] += total
-        n += len(rows)
-        rest = float(sums.iloc[-1]) if n % size and len(sums) else 0.0
-        done = sums[sums.index < n // size]
-        return (n, rest), pd.DataFrame({"window": done.index.astype("int32"), "total": done.to_numpy(float)})
-
-    return stateful(stream, keys, order_by, "n bigint, total double", step, "window int, total double")
+    def step(before: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        n, rest = before["n"].astype("float64").fillna(0).astype("int64"), before["total"].astype("float64").fillna(0.0)
+        own = rows["_key"]
+        place = own.groupby(own).cumcount() + n.reindex(own).to_numpy()
+        first = ~own.duplicated()
+        number = (first | (place % size == 0)).cumsum()  # of the window
+        waiting = pd.Series(rest.reindex(own).to_numpy(), index=rows.index).where(first & (place % size != 0), 0.0)
+        sums = rows[value].fillna(0.0).groupby(number).cumsum() + waiting.groupby(number).cumsum()
+        last = ~own.duplicated(keep="last")
+        n, rest = (place[last] + 1).to_numpy(), sums[last].to_numpy()
+        done = place % size == size - 1
+        out = pd.DataFrame({"window": (place[done] // size).astype("int32"), "total": sums[done]})
+        return pd.DataFrame({"n": n, "total": pd.Series(rest).where(n % size != 0, 0.0)}), out
+
+    return in_lots(stream, keys, order_by, "n bigint, total double", step, [], "window int, total double")
 
 
 def stream_ema(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, weight: float) -> DataFrame:
