@@ -142,14 +142,15 @@ def stream_count_window(stream: DataFrame, keys: Sequence[str], order_by: Sequen
 def stream_ema(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, weight: float) -> DataFrame:
     """``keys``, ``order_by`` and ``value``: the exponential moving average at each row."""
 
-    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        own = rows[value].fillna(0.0)
-        both = own if state is None else pd.concat([pd.Series([state[0]]), own], ignore_index=True)
-        found = both.ewm(alpha=weight, adjust=False).mean().iloc[-len(own) :].to_numpy()
-        return (float(found[-1]),), rows[list(order_by)].assign(value=found)
-
-    fields = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in order_by)
-    return stateful(stream, keys, order_by, "value double", step, f"{fields}, value double")
+    def step(before: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        own, numbers = rows["_key"], rows[value].fillna(0.0)
+        old = before["value"].astype("float64").reindex(own).set_axis(rows.index)
+        numbers = numbers.where(own.duplicated() | old.isna(), weight * numbers + (1 - weight) * old)
+        found = numbers.groupby(own).ewm(alpha=weight, adjust=False).mean().droplevel(0)
+        return pd.DataFrame({"value": found[~own.duplicated(keep="last")].to_numpy()}), pd.DataFrame({"_made": found})
+
+    made = in_lots(stream, keys, order_by, "value double", step, order_by, "_made double")
+    return made.withColumnRenamed("_made", "value")
 
 
 def stream_running(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str) -> DataFrame:
