@@ -156,13 +156,13 @@ def stream_ema(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str],
 def stream_running(stream: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str) -> DataFrame:
     """``keys``, ``order_by``, ``n`` and ``total``: count and sum of a key's values up to each row."""
 
-    def step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        n, total = state or (0, 0.0)
-        sums = total + rows[value].fillna(0.0).cumsum()
-        return (n + len(rows), float(sums.iloc[-1])), rows[list(order_by)].assign(n=range(n + 1, n + len(rows) + 1), total=sums)
+    def step(before: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        own = rows["_key"]
+        n, total = before["n"].astype("float64").fillna(0).astype("int64"), before["total"].astype("float64").fillna(0.0)
+        out = pd.DataFrame({"n": own.groupby(own).cumcount() + 1 + n.reindex(own).to_numpy(), "total": rows[value].fillna(0.0).groupby(own).cumsum() + total.reindex(own).to_numpy()})
+        return out[~own.duplicated(keep="last")].reset_index(drop=True), out
 
-    fields = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in order_by)
-    return stateful(stream, keys, order_by, "n bigint, total double", step, f"{fields}, n bigint, total double")
+    return in_lots(stream, keys, order_by, "n bigint, total double", step, order_by, "n bigint, total double")
 
 
 def stream_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], by: str, take: str, value: str) -> DataFrame:

@@ -264,7 +264,7 @@ def _by_key(rows):
     return keyed
 
 
-@pytest.mark.parametrize("name", ["asof", "count_window", "ema"])
+@pytest.mark.parametrize("name", ["asof", "count_window", "ema", "running"])
 def test_streams_in_lots(spark, readings, name):
     """Keys that share a lot don't mix, from micro-batch to micro-batch; null and large keys and ids stay as they are."""
     from millrace import streaming
