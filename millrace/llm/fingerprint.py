@@ -39,8 +39,9 @@ _SEEDS = [random.Random(number).getrandbits(63) for number in range(256)]
 
 
 def _drawn(term: Column, seed: Column, which: int) -> Column:
-    """One of the whole numbers below 2 ** 63 that belong to a term and a sample."""
-    return F.shiftrightunsigned(F.xxhash64(term.bitwiseXOR(seed), F.lit(which)), 1)
+    """One of the whole numbers below 2 ** 63 that belong to a term and a sample; the first, which every term needs, hashes one value only."""
+    mixed = term.bitwiseXOR(seed)
+    return F.shiftrightunsigned(F.xxhash64(mixed, F.lit(which)) if which else F.xxhash64(mixed), 1)
 
 
 def single_rank(term: Column, number: int) -> Column:
