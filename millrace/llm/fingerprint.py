@@ -28,7 +28,9 @@ from .storage import cut
 
 SAMPLES = 64
 #: Bytes of text behind a partition, and partitions at most; a partition of more text spills.
-PART_BYTES, MOST_PARTS = 32 << 20, 20_000
+PART_BYTES, MOST_PARTS = 6 << 20, 20_000
+#: Samples whose ranks a row of a repeated word has; with more, the generated method passes 8,000 bytes and the JVM leaves it uncompiled.
+_LOT = 3
 #: Copies of a row that are made at a time.
 _COPIES = 10_000
 _WHITE = " \t\n\x0b\f\r"
@@ -49,17 +51,24 @@ def single_rank(term: Column, number: int) -> Column:
     return _drawn(term, F.lit(_SEEDS[number]), 0)
 
 
-def with_rank(rows: DataFrame) -> DataFrame:
-    """Rows of ``_term``, ``_count`` (2 or more) and ``_at``, the number of a sample, with ``_rank``; others (``_at`` below 0) get null there."""
-    some, term, seed = F.col("_at") >= 0, F.col("_term"), F.get(F.lit(_SEEDS), F.col("_at"))
+def with_ranks(rows: DataFrame) -> DataFrame:
+    """Rows of ``_term``, ``_count`` (2 or more) and ``_lot`` with ``_rank0`` to ``_rank2``, the ranks at the samples of that lot; others (``_lot`` below 0) get nulls there."""
+    some, term = F.col("_lot") >= 0, F.col("_term")
     uniform = lambda h: (h.cast("double") + 0.5) * F.lit(2.0**-63)
-    own, a, b, g, r = (F.col(f"_{c}") for c in ("own", "a", "b", "g", "r"))
-    rows = rows.withColumns({f"_{c}": F.when(some, _drawn(term, seed, k)) for k, c in enumerate(("own", "b", "g"))})
-    rows = rows.withColumns({"_a": -F.log1p(-uniform(own) * F.lit(1 - 2.0**-52)), "_b": -F.log(uniform(b)), "_g": -F.log(uniform(g)), "_w": F.when(some, F.col("_count").cast("double"))})
-    rows = rows.withColumn("_r", F.when(b <= (F.col("_w") - 1) * a, F.log1p(b / a) + g))  # ln w >= ln(c / a), so the level isn't 0
-    level = F.floor((F.log("_w") + g) / r)
-    lower = (-F.expm1(-(a + b) * F.exp(g - r * (level + 1))) * F.lit(2.0**63 - 1024)).cast("long")
-    return rows.withColumn("_rank", F.when(r.isNotNull(), lower).otherwise(own)).drop(*(f"_{c}" for c in ("own", "a", "b", "g", "w", "r")))
+    of = lambda name: {i: F.col(f"_{name}{i}") for i in range(_LOT)}
+    each = lambda name, made: {f"_{name}{i}": made(i) for i in range(_LOT)}
+    seed, own, a, b, g, r = (of(c) for c in ("seed", "own", "a", "b", "g", "r"))
+    rows = rows.withColumns(each("seed", lambda i: F.when(some, F.get(F.lit(_SEEDS), F.col("_lot") * _LOT + i))) | {"_w": F.when(some, F.col("_count").cast("double"))})
+    rows = rows.withColumns({k: v for n, c in enumerate(("own", "b", "g")) for k, v in each(c, lambda i, n=n: F.when(some, _drawn(term, seed[i], n))).items()}).drop(*each("seed", str))
+    rows = rows.withColumns(each("a", lambda i: -F.log1p(-uniform(own[i]) * F.lit(1 - 2.0**-52))) | each("b", lambda i: -F.log(uniform(b[i]))) | each("g", lambda i: -F.log(uniform(g[i]))))
+    rows = rows.withColumns(each("r", lambda i: F.when(b[i] <= (F.col("_w") - 1) * a[i], F.log1p(b[i] / a[i]) + g[i])))  # ln w >= ln(c / a), so the level isn't 0
+
+    def rank(i: int) -> Column:
+        level = F.floor((F.log("_w") + g[i]) / r[i])
+        lower = (-F.expm1(-(a[i] + b[i]) * F.exp(g[i] - r[i] * (level + 1))) * F.lit(2.0**63 - 1024)).cast("long")
+        return F.when(r[i].isNotNull(), lower).otherwise(own[i])
+
+    return rows.withColumns(each("rank", rank)).drop("_w", *(k for c in ("own", "a", "b", "g", "r") for k in each(c, str)))
 
 
 def words_of(text: Column) -> Column:
@@ -67,6 +76,14 @@ def words_of(text: Column) -> Column:
     return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(_WHITE)), r"[ \t-\r]+")
 
 
+def ranked_terms(rows: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and ``_term`` of every different word: one row of count 1 (``_lot`` below 0), or a row with ranks for each lot of samples."""
+    words = rows.select(*keys, F.explode(words_of(F.col(text))).alias("_word"))
+    counted = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_count"))
+    lots = F.when(F.col("_count") > 1, F.lit(list(range(math.ceil(samples / _LOT))))).otherwise(F.lit([-1]))
+    return with_ranks(counted.withColumn("_lot", F.explode(lots)))
+
+
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES, out: str = "samples") -> DataFrame:
     """``keys`` and ``out``, an array of ``samples`` numbers that stand for the sampled terms and levels, one row for each different key.
 
@@ -76,12 +93,8 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", samples:
     If ``rows`` is distributed by some of ``keys`` already, nothing is shuffled. A sample is 32 bits of a hash of the
     rank, so samples that differ look alike once in four thousand millions.
     """
-    words = rows.select(*keys, F.explode(words_of(F.col(text))).alias("_word"))
-    counted = words.select(*keys, F.xxhash64("_word").alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_count"))
-    places = F.when(F.col("_count") > 1, F.lit(list(range(samples)))).otherwise(F.lit([-1]))
-    ranked = with_rank(counted.withColumn("_at", F.explode(places)))
-    rank = lambda j: F.when(F.col("_at") < 0, single_rank(F.col("_term"), j)).when(F.col("_at") == j, F.col("_rank"))
-    least = ranked.groupBy(*keys).agg(*(F.min(rank(j)).alias(f"_{j}") for j in range(samples)))
+    rank = lambda j: F.when(F.col("_lot") < 0, single_rank(F.col("_term"), j)).when(F.col("_lot") == j // _LOT, F.col(f"_rank{j % _LOT}"))
+    least = ranked_terms(rows, keys, text, samples).groupBy(*keys).agg(*(F.min(rank(j)).alias(f"_{j}") for j in range(samples)))
     return least.select(*keys, F.array(*(F.hash(F.col(f"_{j}")) for j in range(samples))).alias(out))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import chat, jaccard, lines, scoring, secrets, toxicity, warc
+from millrace.llm import chat, fingerprint, jaccard, lines, scoring, secrets, toxicity, warc
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.mixing import cyclic_weights, mix_sources, n_words, repetitions
@@ -364,6 +364,19 @@ def test_fingerprints_of_long_texts(spark):
     assert got[0].near_next < 0.05 and got[1].near_next < 0.05 and abs(got[2].near_next - 1 / 3) < 0.2
 
 
+def test_rows_of_repeated_words(spark, capsys):
+    """A repeated word has a row for each lot of samples, not for each sample, and no generated method is too large for the JVM to compile."""
+    made = fingerprint.ranked_terms(spark.createDataFrame([(1, "a b a c a")], "doc_id long, text string"), ["doc_id"])
+    assert made.where("_lot < 0").count() == 2 and made.where("_lot >= 0").count() <= 64 / 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the run
+    try:
+        fingerprint.fingerprints(spark.read.parquet(f"{SF}/documents.parquet").repartition(3, "doc_id"), ["doc_id"]).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     """Null and repeated ids, null and empty texts, equal rows, a clashing column, an empty table and a single row."""
     got = compare_with_next(odd).collect()
