@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import chat, fingerprint, jaccard, lines, scoring, secrets, toxicity, warc
+from millrace.llm import chat, fingerprint, graph, jaccard, lines, scoring, secrets, toxicity, warc
 from millrace.llm.decontaminate import decontaminate
 from millrace.llm.fingerprint import compare_with_next
 from millrace.llm.mixing import cyclic_weights, mix_sources, n_words, repetitions
@@ -459,6 +459,17 @@ def test_scores_and_revisits_of_odd_rows(spark, odd):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Rounds end as soon as the edges are stars, so that few queries run one after the other on the driver."""
+    written, own = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or own(df))
+    stars = spark.createDataFrame([(1, 5), (9, 1), (1, 9), (2, 7), (3, 3), (None, 4)], "a long, b long")
+    assert sorted(map(tuple, graph.components(stars).collect())) == [(1, 1), (2, 2), (5, 1), (7, 2), (9, 1)] and len(written) == 1
+    path = spark.createDataFrame([(k * 7 % 20, (k + 1) * 7 % 20) for k in range(19)] + [(30, 40), (40, 31)], "a long, b long")
+    assert sorted(map(tuple, graph.components(path).collect())) == [*((k, 0) for k in range(20)), (30, 30), (31, 30), (40, 30)]
+    assert graph.components(stars.where("false")).count() == 0
+
+
 def test_pipeline_of_odd_rows(spark, odd):
     """Stages on nulls, empty, repeated and long texts, with columns named like their own and without ``n_chars``."""
     docs = odd
