@@ -288,7 +288,9 @@ def representative_links(rows: DataFrame, hits: DataFrame, reps: DataFrame, kind
         several = now.groupBy("entry").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("entry", "k")
         now = cut(enough_met(now.drop("k").join(several, "entry")), free=True)
     crowd = cut(now.where(F.col("k") > _FEW).select("id", "c").distinct())
-    few = now.where(F.col("k") <= _FEW).join(crowd.select("id", F.lit(True).alias("crowd")), "id", "left").na.fill(False, ["crowd"])
+    crowds = not crowd.isEmpty()
+    few = now.where(F.col("k") <= _FEW)
+    few = few.join(crowd.select("id", F.lit(True).alias("crowd")), "id", "left").na.fill(False, ["crowd"]) if crowds else few.withColumn("crowd", F.lit(False))
     other = few.select("entry", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "e", "c", "crowd")))
     across = (
         few.join(other, "entry")
@@ -299,8 +301,9 @@ def representative_links(rows: DataFrame, hits: DataFrame, reps: DataFrame, kind
         .select("x", "y")
         .distinct()
     )
-    crowded = cut(rows.join(crowd, "id"))
-    pairs = cut(across.union(rare_first_pairs(crowded, kind, n, threshold)).join(star, ["x", "y"], "left_anti"))
+    if crowds:
+        across = across.union(rare_first_pairs(cut(rows.join(crowd, "id")), kind, n, threshold))
+    pairs = cut(across.join(star, ["x", "y"], "left_anti"))
     return links.union(verify(pairs, _sets_of(rows, pairs, kind, n), threshold))
 
 

@@ -132,20 +132,37 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 11) -> Dat
     Half of the texts hold a secret: hex, base64 and prefixed keys, random letters and passwords that stand where such
     things are assigned. In the others are look-alikes: digests, numbers, ids, mail addresses, paths, links, versions,
     names and placeholders, also words where secrets could be assigned. The findings are what ``candidates`` finds.
+
+    What is used more than once is a column of its own, and a choice of words one literal: written out wherever they
+    are used, they make a plan of many thousand nodes, all of it in the driver's memory.
     """
+    made = spark.range(n, numPartitions=2)
+
+    def held(**columns: Column) -> list[Column]:
+        nonlocal made
+        made = made.withColumns(columns)
+        return [F.col(c) for c in columns]
+
+    def pick(tag: str, *of: str | Column) -> Column:
+        if all(isinstance(x, str) for x in of):
+            choice = F.split(F.lit("\x1f".join(of)), "\x1f")
+        else:
+            choice = F.array(*(F.lit(x) if isinstance(x, str) else x for x in of))
+        return F.element_at(choice, number(tag, len(of)) + 1)
+
     h = lambda tag: F.sha2(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"), F.lit(tag)).cast("binary"), 256)
     number = lambda tag, most: F.pmod(F.xxhash64("id", F.lit(f"{seed}{tag}")), F.lit(most)).cast("int")
-    pick = lambda tag, *of: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in of)), number(tag, len(of)) + 1)
-    base = F.translate(F.base64(F.unhex(h("b"))), "=\n", "")
-    letters = F.translate(base, "0123456789+/", "qZvXkJwYgHpB")
+    hex_, ids, base, digits = held(_hex=h("h"), _ids=h("u"), _base=F.translate(F.base64(F.unhex(h("b"))), "=\n", ""), _digits=F.translate(h("d"), "abcdef", "123456"))
+    held(**{f"_word_{tag}": pick(tag, *DICTIONARY[::3]) for tag in ("w1", "a", "b", "c", "d", "e", "f")})
+    word = lambda tag: F.col(f"_word_{tag}")
+    (letters,) = held(_letters=F.translate(base, "0123456789+/", "qZvXkJwYgHpB"))
     some = F.substring(base, F.lit(1), number("n", 24) + 16)
-    word = lambda tag: pick(tag, *DICTIONARY[::3])
-    digits = F.translate(h("d"), "abcdef", "123456")
     assigned = pick("p", 'token = "', 'token="', "token: ", "token=", 'api_key = "', 'api_key="', 'secret="', "secret=", "password=", 'password="', "password: ", "passwd=", "Authorization: Bearer ", "export SECRET_KEY=", '"private_key": "', 'auth_token: "', "api key: ", "credential = '", "AUTH_TOKEN=", "access-key: ")
     letter_key = F.substring(pick("l", letters, F.lower(letters), F.upper(letters)), F.lit(1), number("m", 24) + 12)
     short = F.concat(F.substring(base, F.lit(1), number("k", 5) + 6), pick("y", "!", "#", "$", "%", "7", "x9"), F.substring(digits, 1, 1))
-    secret = pick("s", F.substring(h("h"), 1, 40), F.substring(h("h"), 1, 40), F.substring(h("h"), 1, 32), h("h"), F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(base, "+/", "XY"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(base, "+/", "xy"), 1, 36)), F.concat(F.lit("sk-"), F.translate(base, "+/", "xy")), base, some, F.concat(word("w1"), F.lit("_"), F.substring(base, 1, 10), F.substring(digits, 1, 2)), letter_key, letter_key, short, short)
-    hex_part = lambda a, k: F.substring(h("u"), a, k)
+    letter_key, short = held(_letter_key=letter_key, _short=short)
+    secret = pick("s", F.substring(hex_, 1, 40), F.substring(hex_, 1, 40), F.substring(hex_, 1, 32), hex_, F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(base, "+/", "XY"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.translate(base, "+/", "xy"), 1, 36)), F.concat(F.lit("sk-"), F.translate(base, "+/", "xy")), base, some, F.concat(word("w1"), F.lit("_"), F.substring(base, 1, 10), F.substring(digits, 1, 2)), letter_key, letter_key, short, short)
+    hex_part = lambda a, k: F.substring(ids, a, k)
     other = pick(
         "o",
         F.concat_ws("-", hex_part(1, 8), hex_part(9, 4), hex_part(13, 4), hex_part(17, 4), hex_part(21, 12)),
@@ -158,8 +175,8 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 11) -> Dat
         F.concat(word("c"), F.lit("_"), word("d"), F.lit("_"), F.substring(digits, 1, 3)),
         F.concat_ws(".", F.substring(digits, 1, 3), F.substring(digits, 4, 3), F.substring(digits, 7, 3), F.substring(digits, 10, 3)),
         F.concat(F.lit("2024-"), F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 2), F.lit("T"), F.substring(digits, 5, 2)),
-        F.substring(h("h"), 1, 40), h("h"),
-        F.concat(F.lit("your_example_key_"), F.substring(digits, 1, 4)), F.concat(F.lit("EXAMPLE"), F.substring(F.upper(h("h")), 1, 12)),
+        F.substring(hex_, 1, 40), hex_,
+        F.concat(F.lit("your_example_key_"), F.substring(digits, 1, 4)), F.concat(F.lit("EXAMPLE"), F.substring(F.upper(hex_), 1, 12)),
     )
     worded = pick(
         "v",
@@ -168,14 +185,15 @@ def labelled_findings(spark: SparkSession, n: int = 8000, seed: int = 11) -> Dat
         F.concat(F.lit("/usr/"), word("c"), F.lit("/"), word("d")), F.concat(F.lit("your_"), word("c"), F.lit("_here")), F.concat(F.lit("https://"), word("c"), F.lit(".com/"), word("d")),
         F.concat(F.lit("$"), F.upper(word("c")), F.lit("_"), F.upper(word("d"))), F.lit("changeme1234"), F.lit("required."), F.lit("undefined"), F.lit("xxxxxxxxxxxx"), F.lit("************"),
     )
+    (other,) = held(_other=other)
     digest = other.rlike("^[0-9a-f]{40,}$")
     plain = F.when(digest, pick("q", " commit ", " sha256: ", " checksum ", " digest = ", " revision ", " md5:")).otherwise(pick("r", " ", " ", " (", ", ", ": ", " = ", " see ", " token "))
     secretive, in_place = F.col("id") % 2 == 0, F.col("id") % 4 == 1
     token = F.when(secretive, secret).when(in_place, worded).otherwise(other)
-    before = F.concat(word("a"), F.lit(" "), word("b"), F.when(secretive | in_place, F.concat(F.lit(" "), assigned)).otherwise(plain))
-    last = F.substring(before, -1, 1)
+    token, before = held(_token=token, _before=F.concat(word("a"), F.lit(" "), word("b"), F.when(secretive | in_place, F.concat(F.lit(" "), assigned)).otherwise(plain)))
+    (last,) = held(_last=F.substring(before, -1, 1))
     after = F.when(last.isin('"', "'"), last).otherwise(pick("t", " ", "\n", ". ", ", ", ") "))
-    made = spark.range(n, numPartitions=2).select(secretive.cast("double").alias("label"), token.alias("made"), F.concat(before, token, after, F.lit(" "), word("f")).alias("text"))
+    made = made.select(secretive.cast("double").alias("label"), token.alias("made"), F.concat(before, token, after, F.lit(" "), word("f")).alias("text"))
     return candidates(made, ["label", "made"]).where((F.col("label") == 0) | (F.col("token") == F.col("made"))).select("before", "token", "after", "label")
 
 

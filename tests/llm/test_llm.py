@@ -172,6 +172,14 @@ def test_rare_first_pairs(spark):
     assert found >= {(a, b) for a, b in combinations(own, 2) if 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
 
 
+def test_nothing_is_ranked_without_crowds(spark, monkeypatch):
+    texts = [(k, " ".join(f"w{k // 2}x{i}" for i in range(60 + k % 2))) for k in range(40)]
+    ranked = []
+    monkeypatch.setattr(jaccard, "rare_first_pairs", lambda *a, plain=jaccard.rare_first_pairs: ranked.append(a) or plain(*a))
+    got = jaccard.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert dict(got) == {k: k - k % 2 for k in range(40)} and not ranked
+
+
 def test_template_documents(spark):
     """Documents of one template that differ too much to be linked meet in no pair, however many there are."""
     base = [f"w{i}" for i in range(96)]
@@ -281,6 +289,13 @@ def test_forest(spark, forest):
     assert all(right[k, True] >= 0.93 * (right[k, True] + right[k, False]) for k in (0.0, 1.0))
 
 
+def test_plan_of_labelled_findings_is_small(spark):
+    made = secrets.labelled_findings(spark)
+    assert len(made._jdf.queryExecution().analyzed().toString()) < 30_000 and len(made._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    rows = made.select(F.xxhash64(*made.columns).alias("h")).agg(F.count("*"), F.bit_xor("h")).first()
+    assert tuple(rows) == (7999, 4413342042813863454)
+
+
 def test_spans_of_candidates(spark):
     """Tokens and starts against a plain search, with more candidates than a block holds."""
     texts = ["é " + " ".join(f"w{i} password={'x' * (i % 9)}é{i:08d}z. id{i:012d}" for i in range(200)), None, "", "no candidate", "key: foundation of it", "token=short"]
